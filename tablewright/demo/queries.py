@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.demo.staging import stage_arrow_files
 from tablewright.demo.views import KEYS, Views
 from tablewright.functions.text import percent_text
 from tablewright.operators import (
@@ -476,6 +477,15 @@ def table_profile(v):
     return inspection.profile_tables(tables)
 
 
+@query
+def arrow_scan(v):
+    path = fresh_path(v.spark, "arrow")
+    stage_arrow_files(
+        v.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path
+    )
+    return readers.read_columnar(v.spark, path, format="arrow_files")
+
+
 @query
 def jsonl_round_trip(v):
     path = fresh_path(v.spark, "mixture")

@@ -136,12 +136,12 @@ class Views:
         folder = F.concat(F.lit("cache/"), "source", F.lit("/"), "subset", F.lit("/set"))
         path = F.concat(folder, F.col("doc_id").cast("string"), F.lit("-"), split, shard, F.lit(".arrow"))
         named = self.table("documents").select(
-            "doc_id", "source", F.concat("lang", F.lit("-"), (F.col("doc_id") % 199).cast("string")).alias("subset")
+            "doc_id", "source", F.concat("lang", F.lit("-"), (F.col("doc_id") % 3).cast("string")).alias("subset")
         )
         return named.select(
             F.col("source").alias("dataset"),
             "subset",
-            F.when(F.col("doc_id") % 199 != 7, path).alias("path"),
+            F.when(~((F.col("doc_id") % 3 == 2) & F.col("subset").startswith("de")), path).alias("path"),
         )
 
     # -- part --------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import final_number, same_number
-from tablewright.operators.metrics import accuracy
+from tablewright.operators.metrics import ratio
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -52,6 +52,11 @@ def grade(answered: DataFrame, key: str) -> DataFrame:
 
 
 def answer_accuracy(detail: DataFrame, name: str) -> DataFrame:
-    """One row (dataset, n_correct, n_total, accuracy)."""
-    named = detail.select(F.lit(name).alias("dataset"), "correct")
-    return accuracy(named, F.col("correct"), ["dataset"], registry=[name])
+    """One row (dataset, n_correct, n_total, accuracy), also for no items at all."""
+    counts = detail.agg(F.count_if("correct").alias("n_correct"), F.count("*").alias("n_total"))
+    return counts.select(
+        F.lit(name).alias("dataset"),
+        "n_correct",
+        "n_total",
+        ratio(F.col("n_correct"), F.col("n_total")).alias("accuracy"),
+    )

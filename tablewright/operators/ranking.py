@@ -3,7 +3,7 @@
 The digests from ``order_key`` are uniform, so a histogram over their first hex
 digits splits the rows into even buckets. It has at most 16**digits rows
 whatever the size of the data; that bound is what makes it safe to accumulate
-in one task and to broadcast.
+in one task.
 """
 
 from __future__ import annotations
@@ -90,6 +90,7 @@ def with_position(
 
     Each bucket is ranked on its own and shifted by the rows before it, so the
     rows are shuffled once, evenly, and no task sees more than one bucket's share.
+    The join with the offsets runs on the same partitioning and order.
     """
     within = within or []
     keyed = df.withColumn("_h", order_key(*within, *keys, seed=seed))
@@ -98,7 +99,7 @@ def with_position(
     return (
         keyed.withColumn("_b", _bucket(digits))
         .withColumn("_rank", F.row_number().over(in_bucket))
-        .join(F.broadcast(offsets), [*within, "_b"])
+        .join(offsets, [*within, "_b"])
         .withColumn(name, F.col("_before") + F.col("_rank") - 1)
         .drop("_h", "_b", "_rank", "_before")
     )

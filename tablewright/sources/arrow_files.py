@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 FILE_MAGIC = b"ARROW1"
 
 
-def _locate(path: str) -> tuple[fs.FileSystem, str]:
+def locate(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
     return fs.LocalFileSystem(), path
@@ -27,7 +27,7 @@ def _locate(path: str) -> tuple[fs.FileSystem, str]:
 
 def _expand(path: str) -> list[str]:
     """A file as itself, a folder as its ``.arrow`` files at any depth."""
-    system, inner = _locate(path)
+    system, inner = locate(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -41,7 +41,7 @@ def _expand(path: str) -> list[str]:
 
 @contextmanager
 def _open(path: str) -> Iterator[tuple[pa.Schema, Iterator[pa.RecordBatch]]]:
-    system, inner = _locate(path)
+    system, inner = locate(path)
     with system.open_input_file(inner) as source:
         magic = source.read(len(FILE_MAGIC))
         source.seek(0)
