@@ -69,13 +69,14 @@ def sample_fraction(
 
 
 def sample_cap(df: DataFrame, keys: list[str], cap: int = 5000, seed: int | str = SEED) -> DataFrame:
-    """At most ``cap`` rows in seeded order; smaller inputs are kept whole.
+    """At most ``cap`` rows, the first ones in seeded order; smaller inputs are kept whole.
 
-    ``cap`` is a constant, so each task keeps ``cap`` rows and one merges them.
+    ``cap`` is a constant: each task offers its ``cap`` first digests, and the
+    last one taken filters the rows where they are.
     """
-    return (
-        df.withColumn("_h", order_key(*keys, seed=seed)).orderBy("_h", *keys).limit(cap).drop("_h")
-    )
+    digest = order_key(*keys, seed=seed)
+    last = df.select(digest.alias("_h")).orderBy("_h").limit(cap).agg(F.max("_h"))
+    return df.where(digest <= last.scalar())
 
 
 def with_position(

@@ -46,6 +46,12 @@ def test_rows_are_not_gathered_in_one_task(spark, folder, name):
             assert "HashAggregate" in lines[i + 1]
 
 
+def test_cap_does_not_sort_the_rows(spark, folder):
+    df = ranking.sample_cap(spark.read.parquet(f"{folder}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+    main, subquery = plan(df).split("Subquery", 1)
+    assert "Exchange" not in main and "TakeOrderedAndProject" in subquery and "rangepartitioning" not in subquery
+
+
 def test_sample_does_not_shuffle_its_rows(spark, folder):
     df = ranking.sample_fraction(spark.read.parquet(f"{folder}/documents.parquet"), ["doc_id"])
     main = plan(df).split("Subquery")[0]
