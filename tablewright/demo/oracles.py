@@ -156,15 +156,15 @@ POSITIONAL = f"""SELECT example_id, subject, {choice_prompt(LETTERS, 'choices')}
 MIXTURE = f"""{with_views('arc', 'csqa', 'mmlu', 'gsm')},
     lettered AS ({POSITIONAL}),
     mixture AS (
-        SELECT 'commonsense' AS source, example_id AS id, prompt, target FROM ({LABELLED} FROM csqa)
-        UNION ALL SELECT 'science', example_id, prompt, target FROM ({LABELLED} FROM arc)
-        UNION ALL SELECT 'math', example_id, question, answer
+        SELECT 'commonsense' AS source, example_id::VARCHAR AS id, prompt, target FROM ({LABELLED} FROM csqa)
+        UNION ALL SELECT 'science', example_id::VARCHAR, prompt, target FROM ({LABELLED} FROM arc)
+        UNION ALL SELECT 'math', example_id::VARCHAR, question, answer
             FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || example_id)) AS r, count(*) OVER () AS n FROM gsm)
             WHERE r <= n - ceil(0.7::DOUBLE * n)
-        UNION ALL SELECT 'subjects', example_id, prompt, target
+        UNION ALL SELECT 'subjects', example_id::VARCHAR, prompt, target
             FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || example_id)) AS r FROM lettered
                   WHERE subject IN ({', '.join(f"'{s}'" for s in mixing.TRAINING_SUBJECTS)})) WHERE r <= 5000
-        UNION ALL SELECT 'code', range, {text(mixing.CODE_PROMPT)}, {text(mixing.CODE_SOLUTION)}
+        UNION ALL SELECT 'code', range::VARCHAR, {text(mixing.CODE_PROMPT)}, {text(mixing.CODE_SOLUTION)}
             FROM range({mixing.CODE_ROWS}))"""
 
 PAIRS = f"""

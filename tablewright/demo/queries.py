@@ -351,7 +351,7 @@ def mc_predict(v):
 
 @query
 def mc_accuracy(v):
-    return choice_eval.dataset_accuracy(_bigram_predictions(v), v.tasks())
+    return choice_eval.dataset_accuracy(_bigram_predictions(v), candidates.TASKS)
 
 
 @query

@@ -6,6 +6,8 @@ views in SQL for the oracles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,28 +52,22 @@ class Views:
 
     # -- documents ---------------------------------------------------------
 
-    def _pieces(self, parts: int) -> DataFrame:
-        """(example_id, p ARRAY<STRING>): each text cut into equal consecutive parts."""
-        size = F.expr(f"(length(text) + {parts - 1}) div {parts}")
-        piece = "transform(sequence(0, {last}), i -> substring(text, cast(1 + i * _s as int), cast(_s as int)))"
-        return (
-            self.documents()
-            .withColumn("_s", size)
-            .select(F.col("doc_id").alias("example_id"), F.expr(piece.format(last=parts - 1)).alias("p"))
+    def _cut(self, parts: int) -> tuple[DataFrame, Callable[[int | Column], Column]]:
+        """Documents and the expression of the i-th of ``parts`` equal consecutive parts of a text."""
+        rows = self.documents().select(
+            F.col("doc_id").alias("example_id"),
+            "text",
+            F.expr(f"(length(text) + {parts - 1}) div {parts}").cast("int").alias("_s"),
         )
+        return rows, lambda i: F.substring("text", 1 + i * F.col("_s"), F.col("_s"))
 
     def hella(self) -> DataFrame:
         """Fifths of a text: the context and four endings, the true one at the label."""
-        label = draw("lab", "example_id", 4)
-        return (
-            self._pieces(5)
-            .withColumn("_label", label)
-            .select(
-                "example_id",
-                F.get("p", F.lit(0)).alias("ctx"),
-                F.expr("transform(sequence(0, 3), i -> p[cast(1 + pmod(i - _label, 4) as int)])").alias("endings"),
-                F.col("_label").cast("string").alias("label"),
-            )
+        rows, part = self._cut(5)
+        label = draw("lab", "example_id", 4).cast("int")
+        endings = F.array(*(part(1 + F.pmod(F.lit(i) - label, F.lit(4))) for i in range(4)))
+        return rows.select(
+            "example_id", part(0).alias("ctx"), endings.alias("endings"), label.cast("string").alias("label")
         )
 
     def hella_damaged(self) -> DataFrame:
@@ -90,26 +86,28 @@ class Views:
 
     def piqa(self) -> DataFrame:
         """Thirds of a text: the goal and two solutions, the true one at the label."""
-        rows = self._pieces(3).withColumn("label", draw("piqa", "example_id", 2).cast("int"))
+        rows, part = self._cut(3)
+        label = draw("piqa", "example_id", 2).cast("int")
         return rows.select(
             "example_id",
-            F.expr("p[0]").alias("goal"),
-            F.expr("p[1 + label]").alias("sol1"),
-            F.expr("p[2 - label]").alias("sol2"),
-            "label",
+            part(0).alias("goal"),
+            part(1 + label).alias("sol1"),
+            part(2 - label).alias("sol2"),
+            label.alias("label"),
         )
 
     def wino(self) -> DataFrame:
         """Quarters of a text: a sentence with none, one or two blanks, and two options."""
+        rows, part = self._cut(4)
         kind = F.col("example_id") % 20
         middle = F.when(kind == 1, F.lit("")).otherwise(F.lit("_"))
-        tail = F.when(kind == 0, F.concat(F.lit("_"), F.expr("p[2]"))).otherwise(F.lit(""))
+        tail = F.when(kind == 0, F.concat(F.lit("_"), part(2))).otherwise(F.lit(""))
         side = (draw("wino", "example_id", 2) + 1).cast("string")
-        return self._pieces(4).select(
+        return rows.select(
             "example_id",
-            F.concat(F.expr("p[0]"), middle, F.expr("p[1]"), tail).alias("sentence"),
-            F.expr("p[2]").alias("option1"),
-            F.expr("p[3]").alias("option2"),
+            F.concat(part(0), middle, part(1), tail).alias("sentence"),
+            part(2).alias("option1"),
+            part(3).alias("option2"),
             F.when(F.col("example_id") % 25 == 0, F.lit("")).otherwise(side).alias("answer"),
         )
 

@@ -12,15 +12,14 @@ from pyspark.sql.types import StringType
 
 # Answer marker, number pattern, tolerance.
 ANSWER_MARKER = "####"
-NUMBER = r"-?\d+\.?\d*"
+NUMBER = r"-?\p{Nd}+\.?\p{Nd}*"  # decimal digits of any script
 TOLERANCE = 1e-6
 
 
 def final_number(text: Column) -> Column:
     """Last number after the last answer marker, commas removed; null if none."""
     tail = F.element_at(F.split(text, ANSWER_MARKER), -1)
-    # (?U) lets \d match the digits of every script.
-    found = F.regexp_extract_all(F.replace(tail, F.lit(","), F.lit("")), F.lit(f"(?U){NUMBER}"), F.lit(0))
+    found = F.regexp_extract_all(F.replace(tail, F.lit(","), F.lit("")), F.lit(NUMBER), F.lit(0))
     return F.try_element_at(found, F.lit(-1))
 
 

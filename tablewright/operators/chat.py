@@ -86,7 +86,7 @@ def render_turns(
 
 
 def _with_neighbours(turns: DataFrame) -> DataFrame:
-    """Add the roles before and after a turn and the conversation's marks.
+    """Add whether the turns before and after are tool turns, and the conversation's marks.
 
     Only one row per part is windowed over a whole conversation; the turns are
     windowed within their part and take the edges from the neighbouring parts.
@@ -94,9 +94,10 @@ def _with_neighbours(turns: DataFrame) -> DataFrame:
     text = F.col("text")
     wrapped = text.startswith("<tool_response>") & text.endswith("</tool_response>")
     query = (F.col("role") == "user") & ~wrapped
+    turns = turns.withColumn("tool", F.coalesce(F.col("role") == "tool", F.lit(False)))
     parts = turns.groupBy("conv_id", "part").agg(
-        F.min_by("role", "turn").alias("_first_role"),
-        F.max_by("role", "turn").alias("_last_role"),
+        F.min_by("tool", "turn").alias("_first_tool"),
+        F.max_by("tool", "turn").alias("_last_tool"),
         F.max(F.when(query, F.col("turn"))).alias("_query"),
         F.min("turn").alias("_first"),
         F.max("turn").alias("_last"),
@@ -106,19 +107,16 @@ def _with_neighbours(turns: DataFrame) -> DataFrame:
     edges = parts.select(
         "conv_id",
         "part",
-        F.lag("_last_role").over(in_order).alias("_role_before"),
-        F.lead("_first_role").over(in_order).alias("_role_after"),
+        F.lag("_last_tool").over(in_order).alias("_before"),
+        F.lead("_first_tool").over(in_order).alias("_after"),
         F.min("_first").over(whole).alias("first_turn"),
         F.max("_last").over(whole).alias("last_turn"),
         F.coalesce(F.max("_query").over(whole), F.max("_last").over(whole)).alias("last_query"),
     )
     in_part = W.partitionBy("conv_id", "part").orderBy("turn")
-    return (
-        turns.join(edges, ["conv_id", "part"])
-        .withColumn("previous_role", F.coalesce(F.lag("role").over(in_part), "_role_before"))
-        .withColumn("next_role", F.coalesce(F.lead("role").over(in_part), "_role_after"))
-        .drop("_role_before", "_role_after")
-    )
+    before = F.coalesce(F.lag("tool").over(in_part), "_before", F.lit(False))
+    after = F.coalesce(F.lead("tool").over(in_part), "_after", F.lit(False))
+    return turns.join(edges, ["conv_id", "part"]).withColumns({"after_tool": before, "before_tool": after})
 
 
 def _tool_calls(calls: Column, content: Column) -> Column:
@@ -161,9 +159,8 @@ def _assistant_piece(turns: DataFrame) -> Column:
 
 
 def _tool_piece() -> Column:
-    tool = F.lit("tool")
-    opening = F.when(F.col("previous_role").eqNullSafe(tool), "").otherwise(f"{START}user")
-    closing = F.when(F.col("next_role").eqNullSafe(tool), "").otherwise(f"{END}\n")
+    opening = F.when(F.col("after_tool"), "").otherwise(f"{START}user")
+    closing = F.when(F.col("before_tool"), "").otherwise(f"{END}\n")
     return F.concat(
         opening, F.lit("\n<tool_response>\n"), F.col("text"), F.lit("\n</tool_response>"), closing
     )

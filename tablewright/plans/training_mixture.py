@@ -36,7 +36,9 @@ def source_tables(spark: SparkSession, inputs: Mapping[str, DataFrame]) -> dict[
     }
     found = {name: plan(inputs[name]) for name, plan in plans.items() if name in inputs}
     code = formatting.to_pairs(mixing.placeholder_code(spark), formatting.code_pair, "id")
-    return {**found, "code": code}
+    tables = {**found, "code": code}
+    # Inputs may number their rows or name them.
+    return {name: df.withColumn("id", F.col("id").cast("string")) for name, df in tables.items()}
 
 
 def mixture(spark: SparkSession, inputs: Mapping[str, DataFrame]) -> DataFrame:
