@@ -118,10 +118,15 @@ VIEWS = {
         sum(CASE WHEN prediction = label THEN 1 ELSE 0 END)::DOUBLE / count(*) AS accuracy
         FROM answers GROUP BY model, dataset, subset""",
     "shown_summary": """SELECT model, dataset, printf('%.2f%%', accuracy * 100) AS shown FROM summary""",
-    "read_summary": """SELECT model, dataset, rtrim(shown, '%')::DOUBLE / 100.0 AS accuracy FROM shown_summary""",
+    "read_summary": f"""SELECT model, dataset, 'Accuracy' AS metric, rtrim(shown, '%')::DOUBLE / 100.0 AS value
+        FROM (SELECT model, dataset, shown FROM shown_summary UNION ALL
+            SELECT '{MODELS[0]}', 'GSM8K', printf('%.2f%%', count(*) FILTER (correct) / count(*)::DOUBLE * 100) FROM graded)""",
 }
 
 
+SUMMARY_VIEWS = ("mmlu", "hella", "answers", "summary", "shown_summary", "gsm", "graded", "read_summary")
+
+
 def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
 
@@ -137,6 +142,8 @@ GRADED = f"""
     FROM (SELECT example_id, question, answer AS target, prediction,
           {number('prediction')} AS extracted_pred, {number('answer')} AS extracted_target FROM gsm)"""
 
+VIEWS["graded"] = GRADED
+
 PASS = """SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS c FROM events GROUP BY user_id"""
 
 
@@ -352,15 +359,16 @@ def profile() -> str:
         "pages": "page_id url html",
         "benchmark": "item_id text",
         "labels": "doc_id quality toxic",
+        "conversations": "conv_id turn role text",
     }
     parts = []
     for table, names in columns.items():
-        key = KEYS[table]
+        order = ", ".join(KEYS[table])
         for i, name in enumerate(names.split(), start=1):
             value = MILLIONTHS if name == "embedding" else f"{name}::VARCHAR"
             parts.append(
                 f"SELECT '{table}' AS table_name, {i} AS ordinal, '{name}' AS column_name, {value} AS example "
-                f"FROM {table} WHERE {key} = (SELECT min({key}) FROM {table})"
+                f"FROM (SELECT * FROM {table} ORDER BY {order} LIMIT 1)"
             )
     return " UNION ALL ".join(parts)
 
@@ -383,9 +391,9 @@ ORACLES = {
     "sample_fraction": """SELECT doc_id, text, lang, source, n_chars FROM (
         SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS r, count(*) OVER () AS n FROM documents)
         WHERE r <= n - ceil(0.7::DOUBLE * n)""",
-    "sample_cap": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
-        ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey),
-            l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5000""",
+    "sample_cap": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS quantity, l_extendedprice
+        FROM lineitem ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
+            || ':' || l_quantity::BIGINT) LIMIT 5000""",
     "sample_cap_noop": "SELECT p_partkey, p_name FROM part ORDER BY md5('42:' || p_partkey) LIMIT 25000",
     "mixture_union": f"{MIXTURE} SELECT * FROM mixture",
     "mixture_counts": f"""{MIXTURE} SELECT coalesce(source, 'total') AS source, count(*) AS n_rows
@@ -475,17 +483,15 @@ ORACLES = {
         SELECT dataset, reason, count(*) AS n_rows FROM problems WHERE reason IS NOT NULL GROUP BY dataset, reason""",
     "summary_text": f"""{with_views('mmlu', 'hella', 'answers', 'summary', 'shown_summary')}
         SELECT model, dataset, shown AS accuracy FROM shown_summary""",
-    "summary_read": f"""{with_views('mmlu', 'hella', 'answers', 'summary', 'shown_summary', 'read_summary')}
-        SELECT model, dataset, accuracy FROM read_summary""",
-    "summary_metric_read": f"""{with_views('mmlu', 'hella', 'answers', 'summary', 'shown_summary', 'read_summary')}
-        SELECT model, dataset, 'Accuracy' AS metric, accuracy AS value FROM read_summary""",
-    "leaderboard": f"""{with_views('mmlu', 'hella', 'answers', 'summary', 'shown_summary', 'read_summary')},
-        all_rows AS (SELECT model, dataset, accuracy FROM read_summary UNION ALL
-            SELECT model, 'MMLU', avg(accuracy) FROM read_summary WHERE starts_with(dataset, 'MMLU - ') GROUP BY model),
-        wide AS (SELECT dataset, {', '.join(f"max(accuracy) FILTER (model = '{m}') AS {m}" for m in MODELS)}
-            FROM all_rows GROUP BY dataset)
-        SELECT dataset, {', '.join(f'round({m}, 6) AS {m}' for m in MODELS)},
-            {', '.join(f'round({m} - {MODELS[0]}, 6) AS {m}_vs_{MODELS[0]}' for m in MODELS[1:])} FROM wide""",
+    "summary_read": f"{with_views(*SUMMARY_VIEWS)} SELECT model, dataset, metric, value FROM read_summary",
+    "leaderboard": f"""{with_views(*SUMMARY_VIEWS)},
+        all_rows AS (SELECT model, dataset, metric, value FROM read_summary UNION ALL
+            SELECT model, 'MMLU', metric, avg(value) FROM read_summary WHERE starts_with(dataset, 'MMLU - ')
+            GROUP BY model, metric),
+        wide AS (SELECT dataset, metric, {', '.join(f"max(value) FILTER (model = '{m}') AS {m}" for m in MODELS)}
+            FROM all_rows GROUP BY dataset, metric)
+        SELECT dataset, metric, {', '.join(f'round({m}, 8) AS {m}' for m in MODELS)},
+            {', '.join(f'round({m} - {MODELS[0]}, 8) AS {m}_vs_{MODELS[0]}' for m in MODELS[1:])} FROM wide""",
     "detail_round_trip": f"{with_views('gsm')} SELECT 'baseline' AS model, * FROM ({GRADED})",
     "latest_run": runs(True),
     "latest_final_run": runs(False),

@@ -111,8 +111,9 @@ def sample_fraction(v):
 
 @query
 def sample_cap(v):
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return ranking.sample_cap(v.table("lineitem").select(*keys), keys[:4])
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity"]
+    rows = v.table("lineitem").withColumn("quantity", F.col("l_quantity").cast("bigint"))
+    return ranking.sample_cap(rows.select(*keys, "l_extendedprice"), keys)
 
 
 @query
@@ -394,26 +395,25 @@ def summary_text(v):
     return _accuracies(v).select("model", "dataset", percent_text("accuracy").alias("accuracy"))
 
 
-@query
-def summary_read(v):
-    path = fresh_path(v.spark, "summary")
-    sinks.write_summary(sinks.choice_summary(_accuracies(v)), path)
+def _written_summaries(v: Views) -> DataFrame:
+    """Both kinds of summary in one folder, read back."""
+    path = fresh_path(v.spark, "results")
+    sinks.write_summary(sinks.choice_summary(_accuracies(v)), f"{path}/choices")
+    graded = answers.answer_accuracy(_graded(v), "GSM8K").withColumn("model", F.lit(results.MODELS[0]))
+    sinks.write_summary(sinks.metric_summary(graded), f"{path}/answers")
     return sinks.read_summaries(v.spark, path)
 
 
 @query
-def summary_metric_read(v):
-    path = fresh_path(v.spark, "metrics")
-    sinks.write_summary(sinks.metric_summary(_accuracies(v)), path)
-    return sinks.read_summaries(v.spark, path, metrics=True)
+def summary_read(v):
+    return _written_summaries(v)
 
 
 @query
 def leaderboard(v):
-    path = fresh_path(v.spark, "leaderboard")
-    sinks.write_summary(sinks.choice_summary(_accuracies(v)), path)
-    board = results.leaderboard(sinks.read_summaries(v.spark, path))
-    return board.select("dataset", *(F.round(c, 6).alias(c) for c in board.columns if c != "dataset"))
+    board = results.leaderboard(_written_summaries(v))
+    values = board.columns[2:]
+    return board.select("dataset", "metric", *(F.round(c, 8).alias(c) for c in values))
 
 
 @query
@@ -469,10 +469,10 @@ def split_files(v):
 
 @query
 def table_profile(v):
-    tables = {name: (v.table(name), key) for name, key in KEYS.items()}
+    tables = {name: (v.table(name), keys) for name, keys in KEYS.items()}
     # whole numbers, which every engine spells alike
     millionths = F.expr("transform(embedding, x -> cast(round(cast(x as double) * 1000000) as bigint))")
-    tables["embeddings"] = (v.table("embeddings").withColumn("embedding", millionths), "vec_id")
+    tables["embeddings"] = (v.table("embeddings").withColumn("embedding", millionths), KEYS["embeddings"])
     return inspection.profile_tables(tables)
 
 

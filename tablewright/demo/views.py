@@ -20,19 +20,21 @@ from tablewright.sources.readers import spread
 OTHER_SUBJECTS = ["abstract_algebra", "anatomy", "astronomy", "virology", "world_religions"]
 SUBJECTS = TRAINING_SUBJECTS + OTHER_SUBJECTS
 
+# Columns that order a table.
 KEYS = {
-    "region": "r_regionkey",
-    "nation": "n_nationkey",
-    "customer": "c_custkey",
-    "supplier": "s_suppkey",
-    "part": "p_partkey",
-    "orders": "o_orderkey",
-    "events": "event_id",
-    "documents": "doc_id",
-    "embeddings": "vec_id",
-    "pages": "page_id",
-    "benchmark": "item_id",
-    "labels": "doc_id",
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey"],
+    "customer": ["c_custkey"],
+    "supplier": ["s_suppkey"],
+    "part": ["p_partkey"],
+    "orders": ["o_orderkey"],
+    "events": ["event_id"],
+    "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
+    "pages": ["page_id"],
+    "benchmark": ["item_id"],
+    "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
 }
 
 

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def table_profile(df: DataFrame, name: str, key: str) -> DataFrame:
+def table_profile(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """(table_name, ordinal, column_name, example), one row per column.
 
-    The first key is found on the key column alone; its row is then looked up
-    with a filter that reaches the scan. Ties on the key give one of the rows.
+    The first key is found on the key columns alone; its row is then looked up
+    with filters that reach the scan. Ties on the key give one of the rows.
     """
-    first = df.where(F.col(key) == df.agg(F.min(key)).scalar()).limit(1)
+    first = df
+    for key in keys:
+        first = first.where(F.col(key) == first.agg(F.min(key)).scalar())
+    first = first.limit(1)
     entries: list[Column] = [
         F.struct(
             F.lit(i).alias("ordinal"),
@@ -33,8 +36,8 @@ def _as_text(df: DataFrame, column: str) -> Column:
     return F.to_json(value) if kind.startswith(("array", "struct", "map")) else value.cast("string")
 
 
-def profile_tables(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Profiles of several (table, key) inputs in one table."""
+def profile_tables(tables: Mapping[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Profiles of several (table, keys) inputs in one table."""
     return reduce(
-        DataFrame.unionByName, [table_profile(df, name, key) for name, (df, key) in tables.items()]
+        DataFrame.unionByName, [table_profile(df, name, *keys) for name, (df, keys) in tables.items()]
     )

@@ -14,17 +14,17 @@ def with_subject_mean(summary: DataFrame) -> DataFrame:
     """Add per model the unweighted mean over subjects as dataset ``MMLU``."""
     mean = (
         summary.where(F.col("dataset").startswith(SUBJECT_PREFIX))
-        .groupBy("model")
-        .agg(F.avg("accuracy").alias("accuracy"))
-        .select("model", F.lit(SUBJECT_PREFIX.split(" ")[0]).alias("dataset"), "accuracy")
+        .groupBy("model", "metric")
+        .agg(F.avg("value").alias("value"))
+        .withColumn("dataset", F.lit(SUBJECT_PREFIX.split(" ")[0]))
     )
-    return summary.select("model", "dataset", "accuracy").unionByName(mean)
+    return summary.select("model", "dataset", "metric", "value").unionByName(mean)
 
 
 def leaderboard(summary: DataFrame, models: list[str] = MODELS) -> DataFrame:
-    """One row per dataset: each model's accuracy and its difference from the first model's."""
+    """One row per dataset and metric: each model's value and its difference from the first model's."""
     base, *others = models
     table = (
-        with_subject_mean(summary).groupBy("dataset").pivot("model", models).agg(F.first("accuracy"))
+        with_subject_mean(summary).groupBy("dataset", "metric").pivot("model", models).agg(F.first("value"))
     )
     return table.withColumns({f"{m}_vs_{base}": F.col(m) - F.col(base) for m in others})

@@ -16,6 +16,8 @@ SETTINGS = {
     # Hash the smaller side instead of sorting both where every partition of it is
     # seen to be small at run time.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Long texts go to Python workers in small batches.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

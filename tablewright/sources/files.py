@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Splits in the order an evaluation prefers them.
 EVALUATION_SPLITS = ["validation", "test", "train"]
 
+# End of a run directory's name.
+RUN_TIME = r"_\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}$"
+
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Files table of ``root``/dataset/subset/…; contents are not read."""
@@ -33,6 +36,20 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(prefix, run_dir, entry, mtime) of the files of ``root``/run/entry/….
+
+    The prefix is the run's name without the time it was started.
+    """
+    files = list_files(spark, root)
+    return files.select(
+        F.regexp_replace("dataset", RUN_TIME, "").alias("prefix"),
+        F.col("dataset").alias("run_dir"),
+        F.col("subset").alias("entry"),
+        "mtime",
+    )
+
+
 def split_rank(path: Column, splits: list[str], match: str = "contains", extension: str = ".arrow") -> Column:
     """0-based rank of the first split a file name matches; null if none.
 

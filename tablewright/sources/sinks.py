@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import percent_text, percent_value
 
-SUMMARY_SCHEMA = "Dataset string, Accuracy string"
-METRIC_SCHEMA = "Dataset string, Metric string, Value string"
+# Columns of a metric summary; a choice summary has only the
+# dataset and its accuracy.
+SUMMARY_SCHEMA = "Dataset string, Metric string, Value string"
+ACCURACY = "Accuracy"
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -33,7 +35,7 @@ def choice_summary(accuracies: DataFrame) -> DataFrame:
     )
 
 
-def metric_summary(accuracies: DataFrame, metric: str = "Accuracy") -> DataFrame:
+def metric_summary(accuracies: DataFrame, metric: str = ACCURACY) -> DataFrame:
     """(model, Dataset, Metric, Value) with the value as ``40.13%``."""
     return accuracies.select(
         "model",
@@ -48,25 +50,25 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.partitionBy("model").option("header", True).csv(path)
 
 
-def _model_of(file: Column) -> Column:
-    folder = F.element_at(F.split(file, "/"), -2)
-    return F.url_decode(F.regexp_replace(folder, "^model=", ""))
-
-
-def read_summaries(spark: SparkSession, root: str, pattern: str = "*", metrics: bool = False) -> DataFrame:
-    """(model, dataset, accuracy) or (model, dataset, metric, value) as ratios.
+def read_summaries(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(model, dataset, metric, value) of summaries of both kinds, values as ratios.
 
     The model is the folder a file lies in, written as ``name`` or ``model=name``.
+    A line of two columns is a dataset and its accuracy.
     """
     table = (
-        spark.read.schema(METRIC_SCHEMA if metrics else SUMMARY_SCHEMA)
+        spark.read.schema(SUMMARY_SCHEMA)
         .option("header", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .csv(root)
     )
-    model = _model_of(F.col("_metadata.file_path")).alias("model")
-    name = F.col("Dataset").alias("dataset")
-    if metrics:
-        return table.select(model, name, F.col("Metric").alias("metric"), percent_value(F.col("Value")).alias("value"))
-    return table.select(model, name, percent_value(F.col("Accuracy")).alias("accuracy"))
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    model = F.url_decode(F.regexp_replace(F.regexp_replace(folder, "^model=", ""), r"\+", "%2B"))
+    two_columns = F.col("Value").isNull()
+    return table.select(
+        model.alias("model"),
+        F.col("Dataset").alias("dataset"),
+        F.when(two_columns, F.lit(ACCURACY)).otherwise(F.col("Metric")).alias("metric"),
+        percent_value(F.when(two_columns, F.col("Metric")).otherwise(F.col("Value"))).alias("value"),
+    )

@@ -80,7 +80,7 @@ def test_prepare_pairs(spark, root, tmp_path):
 def test_evaluate_choices(spark, root, longest, tmp_path):
     out = str(tmp_path / "summary")
     jobs.evaluate_choices(spark, str(root), longest, "baseline", out)
-    got = {r.dataset: r.accuracy for r in sinks.read_summaries(spark, out).collect()}
+    got = {r.dataset: r.value for r in sinks.read_summaries(spark, out).collect()}
     # the continuation dataset has unlabelled rows
     assert set(got) == {
         "ARC", "CommonsenseQA", "PIQA", "MMLU - sociology", "MMLU - prehistory", "MMLU - virology",
@@ -93,7 +93,7 @@ def test_evaluate_choices(spark, root, longest, tmp_path):
 def test_evaluate_choices_debug(spark, root, longest, tmp_path):
     out = str(tmp_path / "summary")
     jobs.evaluate_choices(spark, str(root), longest, "baseline", out, debug=True)
-    got = {r.dataset: r.accuracy for r in sinks.read_summaries(spark, out).collect()}
+    got = {r.dataset: r.value for r in sinks.read_summaries(spark, out).collect()}
     assert all(round(a * 60) == pytest.approx(a * 60, abs=0.01) for a in got.values())  # fifths or less
 
 
@@ -103,6 +103,6 @@ def test_evaluate_answers(spark, root, zero, tmp_path):
     lines = [json.loads(x) for p in (tmp_path / "detail/model=SFT_LoRA").glob("*.json") for x in p.read_text().splitlines()]
     assert len(lines) == 1500
     assert set(lines[0]) == {"question", "target", "prediction", "extracted_pred", "extracted_target", "correct"}
-    row = sinks.read_summaries(spark, summary, metrics=True).head()
+    row = sinks.read_summaries(spark, summary).head()
     assert (row.model, row.dataset, row.metric) == ("SFT_LoRA", "GSM8K", "Accuracy")
     assert row.value == pytest.approx(sum(x["correct"] for x in lines) / 1500, abs=5e-5)

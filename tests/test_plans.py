@@ -14,7 +14,7 @@ MAP_ONLY = [
     "cand_mmlu", "cand_csqa", "token_logprob",
 ]
 ACTIONS = {  # these write before they return a plan
-    "summary_read", "summary_metric_read", "leaderboard", "detail_round_trip", "jsonl_round_trip",
+    "summary_read", "leaderboard", "detail_round_trip", "jsonl_round_trip",
     "pairs_round_trip", "write_once", "arrow_scan",
 }
 PYTHON = {"generator_pandas", "scorer_pandas", "mc_accuracy_failed_left_out", "summary_text"}

@@ -2,7 +2,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
-from tablewright.operators import results
+from tablewright.operators import results, runs
 from tablewright.plans import training_mixture
 from tablewright.sources import files, readers, sinks
 
@@ -103,13 +103,38 @@ def test_published_summaries(spark, tmp_path):
         (tmp_path / model).mkdir()
         (tmp_path / model / "mc_summary.txt").write_text("\n".join(["Dataset,Accuracy", *lines]) + "\n")
         (tmp_path / model / "other_summary.txt").write_text("Dataset,Metric,Value\nGSM8K,Accuracy,22.90%\n")
-    read = sinks.read_summaries(spark, str(tmp_path), "mc_*.txt")
-    assert {(r.model, r.dataset): round(r.accuracy, 4) for r in read.collect()}[("baseline", "ARC")] == 0.4013
+    read = sinks.read_summaries(spark, str(tmp_path))
+    got = {(r.model, r.dataset, r.metric): round(r.value, 4) for r in read.collect()}
+    assert len(got) == 7
+    assert got[("baseline", "ARC", "Accuracy")] == 0.4013 and got[("SFT_Full", "GSM8K", "Accuracy")] == 0.229
     board = {r.dataset: r for r in results.leaderboard(read).collect()}
     assert board["ARC"].SFT_Full_vs_baseline == pytest.approx(-0.0133)
     assert board["MMLU"].baseline == pytest.approx(0.28635) and board["MMLU"].SFT_Full == 0.5
     assert board["MMLU - b"].SFT_Full is None and board["ARC"].RL_Full is None
-    other = sinks.read_summaries(spark, str(tmp_path), "other_*.txt", metrics=True)
-    assert {(r.model, r.metric, round(r.value, 4)) for r in other.collect()} == {
-        ("baseline", "Accuracy", 0.229), ("SFT_Full", "Accuracy", 0.229),
+    one_kind = sinks.read_summaries(spark, str(tmp_path), "other_*.txt")
+    assert {(r.model, r.dataset) for r in one_kind.collect()} == {("baseline", "GSM8K"), ("SFT_Full", "GSM8K")}
+
+
+def test_newest_run(spark, tmp_path):
+    import os
+
+    runs_found = {
+        "sft_2025-01-01_00-00-00/final_model/config.json": 10,
+        "sft_2025-02-01_00-00-00/checkpoint-500/config.json": 30,
+        "sft_2025-02-01_00-00-00/checkpoint-1000/config.json": 40,
+        "dpo_a_2025-01-01_00-00-00/checkpoint-9/config.json": 50,
+        "dpo_a_2025-01-01_00-00-00/final_model/config.json": 20,
+        "dpo_b_2025-01-01_00-00-00/trace.log": 20,
+    }
+    for name, when in runs_found.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (when, when))
+    entries = files.list_runs(spark, str(tmp_path))
+    got = {r.prefix: (r.run_dir[-19:], r.entry) for r in runs.latest_run(entries).collect()}
+    assert got == {
+        "sft": ("2025-02-01_00-00-00", "checkpoint-1000"),
+        "dpo_a": ("2025-01-01_00-00-00", "final_model"),
+        "dpo_b": ("2025-01-01_00-00-00", None),
     }
+    assert {r.prefix: r.entry for r in runs.latest_run(entries, checkpoints=False).collect()}["sft"] is None
