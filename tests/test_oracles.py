@@ -1,10 +1,11 @@
 """Every registered query equals its SQL oracle."""
 
 import pytest
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import connect, duck_table, spark_table
 
-QUERIES, ORACLES = queries(), oracle_sql()
+from tablewright.demo.oracles import ORACLES
+from tablewright.demo.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
