@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,29 @@ def unused(df: DataFrame, name: str) -> str:
         name += "_"
     return name
 
+
+
+ARROW_TYPES = {
+    "long": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "float": pa.float32(),
+    "boolean": pa.bool_(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
+    "array<long>": pa.list_(pa.int64()),
+    "array<float>": pa.list_(pa.float32()),
+}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of ``"name type, ..."``; needs no session, so tasks can call it."""
+    return pa.schema([(name, ARROW_TYPES[kind]) for name, kind in map(str.split, ddl.split(", "))])
+
+
+def record_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )

@@ -23,10 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from tablewright.llm.common import BLANK, full_text, stored, unused
+from tablewright.llm.common import BLANK, arrow_schema, full_text, stored, unused
 
 ENTRY = (
     "row long, doc_id long, hash long, digest binary, entry long, "
@@ -89,12 +87,8 @@ def without_blanks(text: str | Column = "text") -> Column:
     return F.regexp_replace(full_text(text), f"{BLANK}+", "")
 
 
-def _schema(ddl: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def _collapse(held_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = _schema(ENTRY)
+    schema = arrow_schema(ENTRY)
 
     def entries(held: dict) -> pa.RecordBatch:
         rows = [(h, *e) for (h, _), e in held.items()]
@@ -168,7 +162,7 @@ def _route(directory: Directory, repeated, bits: int):
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chain the entries of equal hashes, in hash order, and settle every chain."""
-    schema = _schema(OWNED)
+    schema = arrow_schema(OWNED)
 
     def settled(chain: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         for members, n_rows, best in chain.values():
