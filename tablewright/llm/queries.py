@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_index
+from tablewright.llm import chat_spans, exact_index, shard_packing
 from tablewright.llm.common import table
 
 
@@ -12,10 +12,33 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_index.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_packing.shards(table(spark, sf_dir, "documents"))
+
+
+# The conversation that the contract adds.
+CONTROL_TURNS = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat_spans.conversation_digests(chat_spans.formatted_turns(rows.unionByName(added)))
+
+
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_shard_packing": op6_shard_packing,
+    "op10_chat_format": op10_chat_format,
 }
 
+
+def _escaped(column: str) -> str:
+    for plain, code in chat_spans.ESCAPES.items():
+        column = f"replace({column}, '{plain}', '{code}')"
+    return column
+
+
 ORACLES = {
     "op5_exact_dedup": r"""
         WITH plain AS (
@@ -29,4 +52,18 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM grouped
     """,
+    "op10_chat_format": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               CAST(sum(10 + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
 }
