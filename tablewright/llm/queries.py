@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import chat_spans, exact_index, shard_packing
+from tablewright.llm import (
+    chat_spans,
+    decontamination,
+    exact_index,
+    language_id,
+    pieces,
+    quality_crf,
+    shard_packing,
+    simhash_links,
+)
 from tablewright.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.score(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_links.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_index.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -16,6 +34,19 @@ def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_packing.shards(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_rows(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # The conversation that the contract adds.
 CONTROL_TURNS = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
 
@@ -27,8 +58,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_shard_packing": op6_shard_packing,
+    "op7_language": op7_language,
+    "op8_pieces": op8_pieces,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
 
