@@ -10,7 +10,9 @@ from tablewright.llm import (
     exact_index,
     language_id,
     pieces,
+    pii_bootstrap,
     quality_crf,
+    secret_index,
     shard_packing,
     simhash_links,
 )
@@ -22,6 +24,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_index.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_links.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +69,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
+    "op3_personal_data": op3_personal_data,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_shard_packing": op6_shard_packing,
