@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import fresh_path
@@ -28,6 +28,25 @@ def full_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def id_key(doc_id: Column) -> Column:
+    """A doc_id to join and group by; null has a key of its own, the lowest number."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+
+
+def rows_named_by(docs: DataFrame, kept: DataFrame, key: Column, *further: Column) -> DataFrame:
+    """The rows of ``docs`` whose (key, further) is among the rows of ``kept``, columns unchanged.
+
+    ``kept`` has as many columns, in this order. Of rows with the same key the longest
+    text stays. Texts are shuffled once.
+    """
+    names = [unused(docs, f"key{i}") for i in range(1 + len(further))]
+    place = unused(docs, "place")
+    keyed = docs.withColumns(dict(zip(names, (key, *further), strict=True)))
+    order = Window.partitionBy(*names).orderBy(F.char_length(full_text()).desc())
+    met = keyed.join(kept.toDF(*names), names, "left_semi")
+    return met.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
+
+
 def unsigned_crc32(key: str) -> Column:
     """crc32 of a key written as text; null counts as empty."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))

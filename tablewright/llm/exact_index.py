@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANK, arrow_schema, full_text, stored, unused
+from tablewright.llm.common import BLANK, arrow_schema, full_text, id_key, rows_named_by, stored
 
 ENTRY = (
     "row long, doc_id long, hash long, digest binary, entry long, "
@@ -275,12 +275,5 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
     Rows are found again by doc_id and digest; of repeated rows one stays.
     """
-    id_, sha = unused(docs, "kept_id"), unused(docs, "kept_sha")
-    digest, place = unused(docs, "digest"), unused(docs, "place")
-    kept = exact_groups(docs, **options).where("kept")
-    kept = kept.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
-    named = docs.withColumn(digest, F.sha2(without_blanks(docs["text"]), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(sha))
-    order = Window.partitionBy("doc_id", digest).orderBy(F.char_length(full_text()).desc())
-    first = named.join(kept, same, "left_semi").withColumn(place, F.row_number().over(order))
-    return first.where(F.col(place) == 1).select(*docs.columns)
+    kept = exact_groups(docs, **options).where("kept").select(id_key(F.col("doc_id")), "text_sha256")
+    return rows_named_by(docs, kept, id_key(docs["doc_id"]), F.sha2(without_blanks(docs["text"]), 256))

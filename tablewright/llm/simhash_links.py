@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import arrow_schema, record_batch, stored
+from tablewright.llm.common import arrow_schema, id_key, record_batch, rows_named_by, stored
 from tablewright.llm.components import connected_components
 
 WORDS = 4
@@ -236,3 +236,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(named, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component; columns unchanged.
+
+    A row without doc_id stays only in a component of such rows. Of rows that share a
+    doc_id the longest stays.
+    """
+    groups = near_duplicates(docs, distance)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows_named_by(docs, first.select(id_key(F.col("doc_id"))), id_key(docs["doc_id"]))
