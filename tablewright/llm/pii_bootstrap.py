@@ -67,7 +67,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _mentions(text: Column, base: Column) -> Column:
-    """Labels with their instances; an instance is a seed where it overlaps a span of a known form.
+    """Labels with their instances; where one overlaps a span of a known form, that span's text is the instance.
 
     The instance is the end of the match, so its place follows from its length.
     """
@@ -78,13 +78,14 @@ def _mentions(text: Column, base: Column) -> Column:
         instance = F.regexp_replace(m["value"], r"[.!?]+$", "")
         start = m["end"] - F.char_length(m["value"])
         end = start + F.char_length(instance)
-        seed = F.exists(base, lambda s: (s["start"] < end) & (s["end"] > start))
+        seed = F.get(F.filter(base, lambda s: (s["start"] < end) & (s["end"] > start)), 0)
+        known = F.substring(text, seed["start"] + 1, seed["end"] - seed["start"])
         return F.struct(
             start.alias("start"),
             end.alias("end"),
             F.lower(label).alias("label"),
-            instance.alias("instance"),
-            seed.alias("seed"),
+            F.coalesce(known, instance).alias("instance"),
+            seed.isNotNull().alias("seed"),
         )
 
     made = F.zip_with(found, labels, mention).cast(_MENTION)
