@@ -191,8 +191,30 @@ def turn(role: str, content: str) -> str:
     return f"'{chat.START}' || {role} || chr(10) || {content} || {text(chat.END + chr(10))}"
 
 
+def several_keys(*columns: str) -> str:
+    """The seeded digest of a row with several keys."""
+    parts = (f"':' || length(({c})::VARCHAR) || ':' || {c}" for c in columns)
+    return f"md5('42' || {' || '.join(parts)})"
+
+
+def first_words_end(n: str, w: str = "w", gaps: str = "gaps", n_gaps: str | None = None) -> str:
+    """Where the first ``n`` words of a text end, or the ``n_gaps``-th gap; gap i stands before word i."""
+    sizes = [f"list_sum(list_transform({part}[:{k}], lambda x: length(x)))" for part, k in ((w, n), (gaps, n_gaps or n))]
+    return " + ".join(f"coalesce({size}, 0)" for size in sizes)
+
+
+def words_and_gaps(column: str) -> str:
+    return f"{words(column)} AS w_{column}, string_split_regex({column}, '\\S+') AS g_{column}"
+
+
+def cut_start(column: str, n: str) -> str:
+    """The first ``n`` words of a text, or the whole text where it has no more."""
+    end = first_words_end(n, f"w_{column}", f"g_{column}")
+    return f"CASE WHEN len(w_{column}) <= {n} THEN {column} ELSE left({column}, ({end})::INT) END AS {column}"
+
+
 def rendered(source: str, piece: str, closing: str = "''") -> str:
-    return f"""SELECT conv_id, 0::BIGINT AS part, count(*) AS n_turns,
+    return f"""SELECT conv_id, count(*) AS n_turns,
         string_agg({piece}, '' ORDER BY turn) || {closing} AS text FROM {source} GROUP BY conv_id"""
 
 
@@ -353,6 +375,8 @@ def profile() -> str:
         "supplier": "s_suppkey s_name s_nationkey s_acctbal",
         "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
         "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+        "l_returnflag l_linestatus l_shipdate",
         "events": "event_id ts user_id event_type value props",
         "documents": "doc_id text lang source n_chars",
         "embeddings": "vec_id embedding label",
@@ -363,7 +387,7 @@ def profile() -> str:
     }
     parts = []
     for table, names in columns.items():
-        order = ", ".join(KEYS[table])
+        order = ", ".join([*KEYS[table], *names.split()])
         for i, name in enumerate(names.split(), start=1):
             value = MILLIONTHS if name == "embedding" else f"{name}::VARCHAR"
             parts.append(
@@ -391,15 +415,14 @@ ORACLES = {
     "sample_fraction": """SELECT doc_id, text, lang, source, n_chars FROM (
         SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS r, count(*) OVER () AS n FROM documents)
         WHERE r <= n - ceil(0.7::DOUBLE * n)""",
-    "sample_cap": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS quantity, l_extendedprice
-        FROM lineitem ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
-            || ':' || l_quantity::BIGINT) LIMIT 5000""",
+    "sample_cap": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS quantity, l_extendedprice
+        FROM lineitem ORDER BY {several_keys('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'l_quantity::BIGINT')} LIMIT 5000""",
     "sample_cap_noop": "SELECT p_partkey, p_name FROM part ORDER BY md5('42:' || p_partkey) LIMIT 25000",
     "mixture_union": f"{MIXTURE} SELECT * FROM mixture",
     "mixture_counts": f"""{MIXTURE} SELECT coalesce(source, 'total') AS source, count(*) AS n_rows
         FROM mixture GROUP BY ROLLUP (source)""",
     "mixture_shuffle": f"""{MIXTURE} SELECT *,
-        row_number() OVER (ORDER BY md5('42:' || source || ':' || id), source, id) - 1 AS position FROM mixture""",
+        row_number() OVER (ORDER BY {several_keys('source', 'id')}, source, id) - 1 AS position FROM mixture""",
     "sft_labelled": f"""{with_views('arc', 'csqa')}
         SELECT 'science' AS source, * FROM ({LABELLED} FROM arc)
         UNION ALL SELECT 'commonsense', * FROM ({LABELLED} FROM csqa)""",
@@ -425,18 +448,29 @@ ORACLES = {
     "chat_render_template_prompted": f"""{with_views('turns')}, {TEMPLATE_PIECES}
         {rendered('template', 'piece', text(chat.ASSISTANT_OPEN + chat.EMPTY_THINK))}""",
     "length_budget": f"""SELECT doc_id, len(w)::INT AS n_tokens, greatest(len(w) - 2048, 0)::INT AS n_cut,
-        array_to_string(w[:2048], ' ') AS kept FROM (SELECT doc_id, {words('text')} AS w FROM documents)""",
+        CASE WHEN len(w) <= 2048 THEN text ELSE left(text, ({first_words_end('2048')})::INT) END AS kept
+        FROM (SELECT doc_id, text, {words('text')} AS w, string_split_regex(text, '\\S+') AS gaps FROM documents)""",
     "pair_budget": f"""{with_views('hella')}, pairs AS ({PAIRS.format(table='hella')}),
         sizes AS (SELECT example_id, len({words('prompt')})::INT AS n_prompt, len({words('chosen')})::INT AS n_chosen,
             len({words('rejected')})::INT AS n_rejected FROM pairs)
         SELECT *, least(n_prompt, 1024) AS kept_prompt, least(n_chosen, 2048 - least(n_prompt, 1024)) AS kept_chosen,
             least(n_rejected, 2048 - least(n_prompt, 1024)) AS kept_rejected FROM sizes""",
+    "pair_cut": f"""{with_views('hella')}, pairs AS ({PAIRS.format(table='hella')}),
+        sizes AS (SELECT *, {words_and_gaps('prompt')}, {words_and_gaps('chosen')}, {words_and_gaps('rejected')} FROM pairs),
+        rooms AS (SELECT *, len(w_prompt) - 1024 AS cut, (2048 - least(len(w_prompt), 1024))::INT AS room FROM sizes)
+        SELECT example_id, CASE WHEN cut <= 0 THEN prompt ELSE substr(prompt, 1 +
+                ({first_words_end('cut', 'w_prompt', 'g_prompt', '(cut + 1)')})::INT) END AS prompt,
+            {cut_start('chosen', 'room')}, {cut_start('rejected', 'room')} FROM rooms""",
+    "bad_turns": f"""SELECT reason, sum(n)::BIGINT AS n_turns, count(*) AS n_conversations FROM (
+        SELECT conv_id, CASE WHEN conv_id % 17 = 3 AND turn = 1 THEN '{chat.NO_ROLE}'
+            WHEN (conv_id + turn) % 11 = 0 THEN '{chat.NO_TEXT}' END AS reason, count(*) AS n
+        FROM conversations GROUP BY ALL) WHERE reason IS NOT NULL GROUP BY reason""",
     "length_report": f"""SELECT source, count(*) AS n_rows, sum(n)::BIGINT AS n_tokens,
         count(*) FILTER (n > 2048) AS rows_cut, sum(greatest(n - 2048, 0))::BIGINT AS tokens_cut
         FROM (SELECT source, len({words('text')}) AS n FROM documents) GROUP BY source""",
-    "batch_plan": """SELECT *, position // 32 AS step, (position % 32) // 4 AS micro_batch FROM (
+    "batch_plan": f"""SELECT *, position // 32 AS step, (position % 32) // 4 AS micro_batch FROM (
         SELECT doc_id, epoch::INT AS epoch,
-            row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || doc_id)) - 1 AS position
+            row_number() OVER (PARTITION BY epoch ORDER BY {several_keys('epoch', 'doc_id')}) - 1 AS position
         FROM documents, range(2) AS e(epoch))""",
     "cand_arc": f"{with_views('arc')} {CANDIDATES['arc']}",
     "cand_piqa": f"{with_views('piqa')} {CANDIDATES['piqa']}",

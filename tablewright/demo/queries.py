@@ -219,6 +219,19 @@ def chat_render_template_prompted(v):
     return chat.render_template(v.turns_extra(), generation_prompt=True, thinking=False)
 
 
+@query
+def bad_turns(v):
+    """Conversations left out for turns without role or text."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    turns = v.turns_extra().withColumns(
+        {
+            "role": F.when((conv % 17 == 3) & (turn == 1), None).otherwise(F.col("role")),
+            "text": F.when((conv + turn) % 11 == 0, None).otherwise(F.col("text")),
+        }
+    )
+    return chat.bad_turns(turns)
+
+
 @query
 def length_budget(v):
     return budget.limit_length(v.documents().select("doc_id", "text")).drop("text")
@@ -229,6 +242,11 @@ def pair_budget(v):
     return budget.limit_pair(preference.preference_pairs(v.hella(), "example_id"), "example_id")
 
 
+@query
+def pair_cut(v):
+    return budget.cut_pair(preference.preference_pairs(v.hella(), "example_id"))
+
+
 @query
 def length_report(v):
     return budget.length_report(v.documents(), "source")

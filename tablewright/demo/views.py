@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tablewright.functions.hashing import draw
 from tablewright.operators.mixing import TRAINING_SUBJECTS
 from tablewright.operators.results import MODELS
-from tablewright.sources.readers import spread
 
 # Subjects that are evaluated but not used for training.
 OTHER_SUBJECTS = ["abstract_algebra", "anatomy", "astronomy", "virology", "world_religions"]
@@ -28,6 +27,7 @@ KEYS = {
     "supplier": ["s_suppkey"],
     "part": ["p_partkey"],
     "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
     "events": ["event_id"],
     "documents": ["doc_id"],
     "embeddings": ["vec_id"],
@@ -49,8 +49,7 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        """Documents for work on their texts."""
-        return spread(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     # -- documents ---------------------------------------------------------
 

@@ -16,10 +16,19 @@ SEED = 42
 def order_key(*keys: str | Column, seed: int | str = SEED) -> Column:
     """Hex digest whose order is a seeded permutation of the rows.
 
-    ``keys`` together must identify a row and be non-null.
+    A single key is written as it is after the seed. Several are each written with
+    their length before them, so different keys give different texts; a null is
+    written without length.
     """
-    parts = [F.lit(str(seed))] + [_column(k).cast("string") for k in keys]
-    return F.md5(F.concat_ws(":", *parts))
+    parts = [_column(k).cast("string") for k in keys]
+    if len(parts) == 1:
+        # a null key has the seed alone, without the colon
+        text = F.concat(F.lit(f"{seed}"), F.coalesce(F.concat(F.lit(":"), parts[0]), F.lit("")))
+        return F.md5(text)
+    written = [
+        F.coalesce(F.concat(F.lit(":"), F.length(p).cast("string"), F.lit(":"), p), F.lit(":")) for p in parts
+    ]
+    return F.md5(F.concat(F.lit(f"{seed}"), *written))
 
 
 def draw(tag: str, key: str | Column, n: int | Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,7 @@ def final_number(text: Column) -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
+@cache
 def _digit_tables() -> tuple[str, str]:
     digits = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
     return "".join(digits), "".join(str(unicodedata.digit(c)) for c in digits)
@@ -53,6 +55,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, as it stands; empty for 0 words."""
+    pattern = F.concat(F.lit(r"^\s*+(?:\S++\s*+){"), n.cast("string"), F.lit("}+"))
+    return F.regexp_replace(F.regexp_substr(text, pattern), r"\s+$", "")
+
+
+def last_words(text: Column, n: Column) -> Column:
+    """The text from the start of its n-th word from the end, as it stands; empty for 0 words."""
+    pattern = F.concat(F.lit(r"^\s*+(?:\S++\s++){"), (F.size(words(text)) - n).cast("string"), F.lit("}+"))
+    return F.regexp_replace(text, pattern, F.lit(""))
+
+
 @F.pandas_udf(StringType())
 def percent_text(ratio: pd.Series) -> pd.Series:
     """``40.13%`` with correctly rounded digits.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import SEED
-from tablewright.functions.text import words
+from tablewright.functions.text import first_words, last_words, words
 from tablewright.operators.ranking import with_position
 
 # Limits in tokens, and rows per device step and accumulation.
@@ -19,18 +19,21 @@ ACCUMULATION = 8
 EPOCHS = 2
 
 Tokens = Callable[[Column], Column]
+Cut = Callable[[Column, Column], Column]
 
 
 def limit_length(
-    df: DataFrame, text: str = "text", limit: int = MAX_TOKENS, tokens: Tokens = words
+    df: DataFrame, text: str = "text", limit: int = MAX_TOKENS, tokens: Tokens = words, first: Cut = first_words
 ) -> DataFrame:
-    """Add token counts and the ``kept`` text, the first ``limit`` tokens joined by blanks."""
+    """Add token counts and the ``kept`` text: the whole text, or up to the end of its token ``limit``.
+
+    ``first(text, n)`` gives the text of the first n tokens as it stands there.
+    """
+    n = F.col("n_tokens")
     return (
-        df.withColumn("_tokens", tokens(F.col(text)))
-        .withColumn("n_tokens", F.size("_tokens"))
-        .withColumn("n_cut", F.greatest(F.col("n_tokens") - limit, F.lit(0)))
-        .withColumn("kept", F.array_join(F.slice("_tokens", 1, limit), " "))
-        .drop("_tokens")
+        df.withColumn("n_tokens", F.size(tokens(F.col(text))))
+        .withColumn("n_cut", F.greatest(n - limit, F.lit(0)))
+        .withColumn("kept", F.when(n > limit, first(F.col(text), F.lit(limit))).otherwise(F.col(text)))
     )
 
 
@@ -46,20 +49,41 @@ def limit_pair(
     A long prompt keeps its end, next to the answer; the answers share what is
     left of the total and keep their start.
     """
-    sizes = pairs.select(
-        key, *(F.size(tokens(F.col(c))).alias(f"n_{c}") for c in ("prompt", "chosen", "rejected"))
+    return _pair_sizes(pairs, prompt_limit, limit, tokens).drop("prompt", "chosen", "rejected").select(
+        key, *(f"{what}_{c}" for what in ("n", "kept") for c in ("prompt", "chosen", "rejected"))
     )
-    kept_prompt = F.least(F.col("n_prompt"), F.lit(prompt_limit))
-    room = F.lit(limit) - kept_prompt
-    return sizes.withColumns(
+
+
+def _pair_sizes(pairs: DataFrame, prompt_limit: int, limit: int, tokens: Tokens) -> DataFrame:
+    sizes = pairs.withColumns({f"n_{c}": F.size(tokens(F.col(c))) for c in ("prompt", "chosen", "rejected")})
+    room = F.lit(limit) - F.col("kept_prompt")
+    return sizes.withColumn("kept_prompt", F.least(F.col("n_prompt"), F.lit(prompt_limit))).withColumns(
         {
-            "kept_prompt": kept_prompt,
             "kept_chosen": F.least(F.col("n_chosen"), room),
             "kept_rejected": F.least(F.col("n_rejected"), room),
         }
     )
 
 
+def cut_pair(
+    pairs: DataFrame,
+    prompt_limit: int = MAX_PROMPT_TOKENS,
+    limit: int = MAX_TOKENS,
+    tokens: Tokens = words,
+    first: Cut = first_words,
+    last: Cut = last_words,
+) -> DataFrame:
+    """The pairs with their texts cut as :func:`limit_pair` counts; texts under the limits are unchanged."""
+    sizes = _pair_sizes(pairs, prompt_limit, limit, tokens)
+
+    def cut(column: str, by: Cut) -> Column:
+        n, kept = F.col(f"n_{column}"), F.col(f"kept_{column}")
+        return F.when(n > kept, by(F.col(column), kept)).otherwise(F.col(column))
+
+    ways = {"prompt": last, "chosen": first, "rejected": first}
+    return sizes.select(*(cut(c, ways[c]).alias(c) if c in ways else c for c in pairs.columns))
+
+
 def length_report(
     df: DataFrame, by: str, text: str = "text", limit: int = MAX_TOKENS, tokens: Tokens = words
 ) -> DataFrame:

@@ -1,9 +1,11 @@
 """Chat rendering, from message arrays and from turn tables.
 
-A conversation in a turn table may be of any length. It is rendered in parts of
-``PART_TURNS`` turns, one output row per part, so no task ever gathers more than
-that. Ordinary conversations have the single part 0; the text of a longer one is
-its parts in order.
+A conversation in a turn table may be of any length. Its turns are first put
+together in parts of ``PART_TURNS`` turns and then the parts to one text, so that
+only the text itself grows with the conversation.
+
+A conversation with a turn that has no role, or neither text nor tool calls, has no
+text. It is left out here and counted by :func:`bad_turns`.
 """
 
 from __future__ import annotations
@@ -31,17 +33,21 @@ TOOLS_AFTER = (
 
 PART_TURNS = 1000
 
+NO_ROLE = "turn has no role"
+NO_TEXT = "turn has neither text nor tool calls"
+
 
 def render_turn(role: Column, content: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit("\n"), content, F.lit(f"{END}\n"))
 
 
 def render_messages(messages: Column, generation_prompt: bool = False) -> Column:
-    """Text of a message array; null for a null or empty one."""
+    """Text of a message array; null for a null or empty one, or where a role or content is null."""
+    whole = ~F.exists(messages, lambda m: m["role"].isNull() | m["content"].isNull())
     text = F.array_join(F.transform(messages, lambda m: render_turn(m["role"], m["content"])), "")
     if generation_prompt:
         text = F.concat(text, F.lit(ASSISTANT_OPEN))
-    return F.when(F.size(messages) > 0, text)
+    return F.when((F.size(messages) > 0) & whole, text)
 
 
 def render_batches(df: DataFrame, key: str, batch: str = "messages") -> DataFrame:
@@ -53,36 +59,63 @@ def render_batches(df: DataFrame, key: str, batch: str = "messages") -> DataFram
     )
 
 
-def _join_parts(pieces: DataFrame, generation: str, last_turn: DataFrame) -> DataFrame:
-    """Pieces of at most PART_TURNS turns each, in order, as one text per part."""
-    parts = pieces.groupBy("conv_id", "part").agg(
-        F.count("*").alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("turn", "piece"))).alias("_pieces"),
+def _has_calls(turns: DataFrame) -> Column:
+    return F.size("tool_calls") > 0 if "tool_calls" in turns.columns else F.lit(False)
+
+
+def _turn_problem(turns: DataFrame) -> Column:
+    """Why a turn cannot be rendered; null if it can."""
+    return F.when(F.col("role").isNull(), NO_ROLE).when(
+        F.col("text").isNull() & ~F.coalesce(_has_calls(turns), F.lit(False)), NO_TEXT
     )
-    text = F.array_join(F.transform("_pieces", lambda p: p["piece"]), "")
-    if not generation:
-        return parts.select("conv_id", "part", "n_turns", text.alias("text"))
-    closing = F.when(F.col("_last"), F.lit(generation)).otherwise(F.lit(""))
-    return parts.join(last_turn, ["conv_id", "part"], "left").select(
-        "conv_id", "part", "n_turns", F.concat(text, closing).alias("text")
+
+
+def bad_turns(turns: DataFrame) -> DataFrame:
+    """(reason, n_turns, n_conversations) of the turns for which conversations are left out."""
+    found = turns.select("conv_id", _turn_problem(turns).alias("reason")).where("reason is not null")
+    per_conversation = found.groupBy("reason", "conv_id").agg(F.count("*").alias("n"))
+    return per_conversation.groupBy("reason").agg(
+        F.sum("n").alias("n_turns"), F.count("*").alias("n_conversations")
     )
 
 
-def _part(part_turns: int) -> Column:
-    return F.expr(f"turn div {int(part_turns)}")
+def _prepared(turns: DataFrame, part_turns: int) -> DataFrame:
+    """Turns with their part and whether they can be rendered; a turn of tool calls alone has an empty text."""
+    return turns.withColumns(
+        {
+            "part": F.expr(f"turn div {int(part_turns)}"),
+            "_bad": _turn_problem(turns).isNotNull(),
+            "text": F.coalesce("text", F.lit("")),
+        }
+    )
 
 
-def _last_parts(turns: DataFrame) -> DataFrame:
-    return turns.groupBy("conv_id").agg(F.max("part").alias("part")).withColumn("_last", F.lit(True))
+def _join_parts(pieces: DataFrame, closing: str) -> DataFrame:
+    """Pieces of (conv_id, part, turn, piece, _bad) in turn order as one text per conversation."""
+    parts = pieces.groupBy("conv_id", "part").agg(
+        F.count("*").alias("n"),
+        F.max("_bad").alias("_bad"),
+        F.array_sort(F.collect_list(F.struct("turn", "piece"))).alias("_pieces"),
+    )
+    text = F.array_join(F.transform("_pieces", lambda p: p["piece"]), "")
+    whole = parts.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"),
+        F.max("_bad").alias("_bad"),
+        F.array_sort(F.collect_list(F.struct("part", text.alias("text")))).alias("_parts"),
+    )
+    joined = F.array_join(F.transform("_parts", lambda p: p["text"]), "")
+    return whole.where(~F.col("_bad")).select(
+        "conv_id", "n_turns", F.concat(joined, F.lit(closing)).alias("text")
+    )
 
 
 def render_turns(
     turns: DataFrame, generation_prompt: bool = False, part_turns: int = PART_TURNS
 ) -> DataFrame:
-    """(conv_id, part, n_turns, text) of a (conv_id, turn, role, text) table."""
-    turns = turns.withColumn("part", _part(part_turns))
-    pieces = turns.select("conv_id", "part", "turn", render_turn(F.col("role"), F.col("text")).alias("piece"))
-    return _join_parts(pieces, ASSISTANT_OPEN if generation_prompt else "", _last_parts(turns))
+    """(conv_id, n_turns, text) of a (conv_id, turn, role, text) table."""
+    piece = render_turn(F.col("role"), F.col("text")).alias("piece")
+    pieces = _prepared(turns, part_turns).select("conv_id", "part", "turn", "_bad", piece)
+    return _join_parts(pieces, ASSISTANT_OPEN if generation_prompt else "")
 
 
 def _with_neighbours(turns: DataFrame) -> DataFrame:
@@ -172,15 +205,14 @@ def render_template(
     thinking: bool = True,
     part_turns: int = PART_TURNS,
 ) -> DataFrame:
-    """The full chat template over a turn table: (conv_id, part, n_turns, text).
+    """The full chat template over a turn table: (conv_id, n_turns, text).
 
     Handles leading and later system turns, runs of ``tool`` turns, reasoning
     before ``</think>`` and, where the columns are there, ``reasoning_content``,
     ``tool_calls`` (array of name and argument text) and ``tools`` (array of
     JSON texts, read from the first turn). Other roles give no text.
     """
-    turns = turns.withColumn("part", _part(part_turns))
-    full = _with_neighbours(turns)
+    full = _with_neighbours(_prepared(turns, part_turns))
     role, text = F.col("role"), F.col("text")
     leading = F.col("turn") == F.col("first_turn")
     piece = (
@@ -200,6 +232,6 @@ def render_template(
             F.lit(TOOLS_AFTER),
         )
         head = F.when(leading & (F.size("tools") > 0), with_tools).otherwise(head)
-    pieces = full.select("conv_id", "part", "turn", F.concat(head, piece).alias("piece"))
+    pieces = full.select("conv_id", "part", "turn", "_bad", F.concat(head, piece).alias("piece"))
     generation = ASSISTANT_OPEN + ("" if thinking else EMPTY_THINK) if generation_prompt else ""
-    return _join_parts(pieces, generation, _last_parts(turns))
+    return _join_parts(pieces, generation)

@@ -41,42 +41,46 @@ def held_in_size(total: Column, held_out: float) -> Column:
     return (total - F.ceil(F.lit(float(held_out)) * total)).cast("bigint")
 
 
-def sample_fraction(
-    df: DataFrame,
-    keys: list[str],
-    held_out: float = 0.7,
-    seed: int | str = SEED,
-    digits: int = BUCKET_DIGITS,
-) -> DataFrame:
-    """Exactly ``n - ceil(held_out * n)`` rows: the first ones in seeded order.
+def _first_in_order(df: DataFrame, keys: list[str], wanted: Column, seed: int | str, digits: int) -> DataFrame:
+    """The first ``wanted`` rows in seeded order, ``wanted`` being an expression of ``_total``.
 
-    Two passes over the key columns find the digest of the last row to keep;
-    the sample itself is then a map-only filter, with no shuffle of the rows.
+    Two passes over the key columns find the last row to keep, by digest and then
+    key; the sample itself is then a map-only filter, with no shuffle of the rows.
+    Rows with the same keys are kept or left out together.
     """
-    keyed = df.select(order_key(*keys, seed=seed).alias("_h"))
-    offsets = _offsets(keyed, [], digits)
-    wanted = held_in_size(F.col("_total"), held_out)
-    edge = offsets.select("_b", (wanted - F.col("_before")).alias("_take"), "_n").where("_take between 1 and _n")
+    order = [f"_k{i}" for i in range(len(keys))]
+    keyed = df.select(order_key(*keys, seed=seed).alias("_h"), *(F.col(k).alias(o) for k, o in zip(keys, order)))
+    offsets = _offsets(keyed, [], digits).withColumn("_take", wanted - F.col("_before"))
+    edge = offsets.where("_take between 1 and _n")
     # ``edge`` is one row, and one bucket's digests pass the join.
     last = (
         keyed.withColumn("_b", _bucket(digits))
         .join(F.broadcast(edge.select("_b", "_take")), "_b")
-        .withColumn("_rank", F.row_number().over(W.partitionBy("_b").orderBy("_h")))
+        .withColumn("_rank", F.row_number().over(W.partitionBy("_b").orderBy("_h", *order)))
         .where("_rank = _take")
-        .select("_h")
+        .select(F.struct("_h", *order).alias("_last"))
     )
-    return df.where(order_key(*keys, seed=seed) <= last.scalar())
+    # structs are compared field by field, nulls first, as the window orders them
+    place = F.struct(order_key(*keys, seed=seed).alias("_h"), *(F.col(k).alias(o) for k, o in zip(keys, order)))
+    return df.where(place <= last.scalar())
 
 
-def sample_cap(df: DataFrame, keys: list[str], cap: int = 5000, seed: int | str = SEED) -> DataFrame:
-    """At most ``cap`` rows, the first ones in seeded order; smaller inputs are kept whole.
+def sample_fraction(
+    df: DataFrame,
+    keys: list[str],
+    held_out: float = 0.7,
+    seed: int | str = SEED,
+    digits: int = BUCKET_DIGITS,
+) -> DataFrame:
+    """Exactly ``n - ceil(held_out * n)`` rows: the first ones in seeded order."""
+    return _first_in_order(df, keys, held_in_size(F.col("_total"), held_out), seed, digits)
 
-    ``cap`` is a constant: each task offers its ``cap`` first digests, and the
-    last one taken filters the rows where they are.
-    """
-    digest = order_key(*keys, seed=seed)
-    last = df.select(digest.alias("_h")).orderBy("_h").limit(cap).agg(F.max("_h"))
-    return df.where(digest <= last.scalar())
+
+def sample_cap(
+    df: DataFrame, keys: list[str], cap: int = 5000, seed: int | str = SEED, digits: int = BUCKET_DIGITS
+) -> DataFrame:
+    """At most ``cap`` rows, the first ones in seeded order; smaller inputs are kept whole."""
+    return _first_in_order(df, keys, F.least(F.col("_total"), F.lit(cap)), seed, digits)
 
 
 def with_position(

@@ -56,13 +56,3 @@ def read_available(spark: SparkSession, paths: Mapping[str, str]) -> tuple[dict[
     if not found:
         raise FileNotFoundError(f"no input found among {sorted(paths.values())}")
     return found, missing
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores where the scan has fewer partitions than the session has cores.
-
-    For work on long texts over an input too small to fill the cluster. A large
-    input has more scan partitions than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

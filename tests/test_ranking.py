@@ -9,7 +9,8 @@ from tablewright.operators import budget, preference, ranking
 
 
 def digest(*keys):
-    return hashlib.md5(":".join(map(str, ("42", *keys))).encode()).hexdigest()
+    written = [f":{k}" for k in keys] if len(keys) == 1 else [f":{len(str(k))}:{k}" for k in keys]
+    return hashlib.md5(("42" + "".join(written)).encode()).hexdigest()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000])
@@ -63,7 +64,36 @@ def test_rejected_is_never_the_label_and_every_other_ending_occurs(spark, views)
 def test_length_limits(spark):
     df = spark.createDataFrame([(1, "a b  c\nd"), (2, ""), (3, None)], "id int, text string")
     got = {r.id: r for r in budget.limit_length(df, limit=3).collect()}
-    assert (got[1].n_tokens, got[1].n_cut, got[1].kept) == (4, 1, "a b c")
+    assert (got[1].n_tokens, got[1].n_cut, got[1].kept) == (4, 1, "a b  c")
+    assert got[1].kept == "a b  c"
     assert (got[2].n_tokens, got[2].n_cut, got[2].kept) == (0, 0, "")
+    whole = budget.limit_length(df, limit=4).where("id = 1").head()
+    assert whole.kept == whole.text
     letters = budget.limit_length(df, limit=3, tokens=lambda t: F.split(t, "")).where("id = 1").head()
     assert letters.n_tokens == 8
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 5])
+def test_keys_with_nulls_and_colons_count_apart(spark, cap):
+    rows = [(None, "c"), ("c", None), ("a:b", "c"), ("a", "b:c"), (None, None), ("", "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert ranking.sample_cap(df, ["x", "y"], cap).count() == cap
+    assert ranking.sample_fraction(df, ["x", "y"], 0.5).count() == 3
+
+
+def test_cap_has_no_one_task_funnel(spark):
+    plan = ranking.sample_cap(spark.range(100), ["id"], 5)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan
+
+
+def test_pairs_are_cut_and_not_respaced(spark):
+    rows = [(1, "p1  p2\np3 ", "c1 c2\tc3", "r1"), (2, "short", "a  b", "")]
+    df = spark.createDataFrame(rows, "id int, prompt string, chosen string, rejected string")
+    got = {r.id: tuple(r)[1:] for r in budget.cut_pair(df, prompt_limit=2, limit=4).collect()}
+    assert got == {1: ("p2\np3 ", "c1 c2", "r1"), 2: ("short", "a  b", "")}
+
+
+def test_long_texts_are_cut(spark):
+    df = spark.createDataFrame([("w  " * 30000,)], "text string")
+    row = budget.limit_length(df).head()
+    assert row.n_cut == 30000 - 2048 and row.kept == ("w  " * 2048).rstrip()

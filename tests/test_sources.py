@@ -138,3 +138,16 @@ def test_newest_run(spark, tmp_path):
         "dpo_b": ("2025-01-01_00-00-00", None),
     }
     assert {r.prefix: r.entry for r in runs.latest_run(entries, checkpoints=False).collect()}["sft"] is None
+
+
+def test_unreadable_folders_are_skipped_and_reported(spark, tmp_path):
+    from tablewright.operators.inspection import profile_folders
+
+    spark.range(3).write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/x.parquet").write_text("not parquet")
+    paths = {n: str(tmp_path / n) for n in ("good", "bad", "missing")}
+    profiles, skipped = profile_folders(spark, paths)
+    assert [(r.table_name, r.column_name, r.example) for r in profiles.collect()] == [("good", "id", "0")]
+    assert set(skipped) == {"bad", "missing"} and all(skipped.values())
+    assert profile_folders(spark, {"missing": paths["missing"]})[0] is None

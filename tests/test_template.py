@@ -72,10 +72,9 @@ def plain(turns, generation_prompt, thinking):
 
 
 def whole(df):
-    """Texts by conversation, parts put together in order."""
-    texts = {}
-    for row in sorted(df.collect(), key=lambda r: (r.conv_id, r.part)):
-        texts[row.conv_id] = texts.get(row.conv_id, "") + row.text
+    rows = df.collect()
+    texts = {row.conv_id: row.text for row in rows}
+    assert len(texts) == len(rows)
     return texts
 
 
@@ -97,7 +96,6 @@ def test_simple_rendering_in_parts(spark, part_turns):
     df = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string")
     turns = "".join(f"<|im_start|>{r}\n{m}<|im_end|>\n" for _, _, r, m in rows[:7])
     got = chat.render_turns(df, generation_prompt=True, part_turns=part_turns)
-    assert max(r.n_turns for r in got.collect()) <= part_turns
     assert whole(got) == {
         1: turns + "<|im_start|>assistant\n",
         2: "<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\n",
@@ -112,3 +110,36 @@ def test_messages_and_batches(spark):
         (1, 0): "<|im_start|>user\na<|im_end|>\n",
         (1, 1): "<|im_start|>user\nb<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n",
     }
+
+
+@pytest.mark.parametrize("turns", [range(2500), (999, 1000), (0, 5_000_000)])
+def test_a_conversation_is_one_row(spark, turns):
+    rows = [(1, t, "user", f"m{t}") for t in turns]
+    df = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string")
+    expected = {1: "".join(f"<|im_start|>user\nm{t}<|im_end|>\n" for t in turns)}
+    assert whole(chat.render_turns(df)) == expected == whole(chat.render_template(df))
+
+
+def test_turns_without_text(spark):
+    calls = [("f", "{}")]
+    rows = [
+        (1, 0, "user", "q", None), (1, 1, "assistant", None, calls), (2, 0, "user", None, None),
+        (2, 1, "assistant", "a", None), (3, 0, None, "x", None), (3, 1, "user", None, []),
+    ]
+    schema = "conv_id int, turn long, role string, text string, tool_calls array<struct<name: string, arguments: string>>"
+    df = spark.createDataFrame(rows, schema)
+    got = whole(chat.render_template(df))
+    call = '<tool_call>\n{"name": "f", "arguments": {}}\n</tool_call>'
+    assert set(got) == {1} and f"assistant\n<think>\n\n</think>\n\n{call}<|im_end|>" in got[1]
+    assert {(r.reason, r.n_turns, r.n_conversations) for r in chat.bad_turns(df).collect()} == {
+        (chat.NO_TEXT, 2, 2), (chat.NO_ROLE, 1, 1),
+    }
+
+
+def test_messages_with_nulls_have_no_text(spark):
+    from pyspark.sql import functions as F
+
+    schema = "messages array<struct<role: string, content: string>>"
+    df = spark.createDataFrame([([("user", "a"), ("user", None)],), ([("user", "a")],), ([],), (None,)], schema)
+    texts = [r.text for r in df.select(chat.render_messages(F.col("messages")).alias("text")).collect()]
+    assert [t is None for t in texts] == [True, False, True, True]
