@@ -515,6 +515,21 @@ ORACLES = {
         UNION ALL SELECT 'MMLU', CASE WHEN answer * 3 >= least(len(choices), 6) OR answer * 3 < -least(len(choices), 6)
             THEN 'answer has no letter' END FROM mmlu)
         SELECT dataset, reason, count(*) AS n_rows FROM problems WHERE reason IS NOT NULL GROUP BY dataset, reason""",
+    "load_task_arrow": f"{with_views('arc')} SELECT label, context, cand, candidate FROM ({CANDIDATES['arc']})",
+    "load_answers": f"{with_views('gsm')} SELECT question, answer FROM gsm WHERE example_id % 3 = 0",
+    "evaluate_choices_job": f"""{with_views(*TASK_VIEWS)}, {ALL_CANDIDATES}, {vowel_predictions('items')}
+        SELECT dataset, rtrim(printf('%.2f%%', accuracy * 100), '%')::DOUBLE / 100.0 AS value FROM (
+            SELECT CASE WHEN subset <> '' THEN dataset || ' - ' || subset ELSE dataset END AS dataset, {ACCURACY}
+            FROM predicted WHERE dataset IN ('ARC', 'PIQA') OR subset IN ('{SUBJECTS[0]}', '{SUBJECTS[1]}')
+            GROUP BY ALL)""",
+    "training_rows": f"""{MIXTURE}, chats AS (SELECT {turn("'user'", 'prompt')} || {turn("'assistant'", 'target')} AS whole
+            FROM mixture WHERE prompt IS NOT NULL AND target IS NOT NULL),
+        sizes AS (SELECT whole, md5(whole) AS chat, {words_and_gaps('whole')} FROM chats),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY {several_keys('epoch', 'chat')}) - 1 AS position
+            FROM sizes, range(2) AS e(epoch))
+        SELECT epoch::INT AS epoch, position, position // 32 AS step, (position % 32) // 4 AS micro_batch,
+            {cut_start('whole', '20').replace('AS whole', 'AS text')}, len(w_whole)::INT AS n_tokens,
+            greatest(len(w_whole) - 20, 0)::INT AS n_cut FROM placed""",
     "summary_text": f"""{with_views('mmlu', 'hella', 'answers', 'summary', 'shown_summary')}
         SELECT model, dataset, shown AS accuracy FROM shown_summary""",
     "summary_read": f"{with_views(*SUMMARY_VIEWS)} SELECT model, dataset, metric, value FROM read_summary",

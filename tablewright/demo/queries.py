@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.demo.staging import stage_arrow_files
-from tablewright.demo.views import KEYS, Views
+from tablewright.demo.views import KEYS, SUBJECTS, Views
 from tablewright.functions.text import percent_text
 from tablewright.operators import (
     answers,
@@ -28,9 +28,9 @@ from tablewright.operators import (
     runs,
     scoring,
 )
-from tablewright.plans import choice_eval, training_mixture
+from tablewright.plans import choice_eval, jobs, training_mixture
 from tablewright.session import fresh_path
-from tablewright.sources import files, readers, sinks
+from tablewright.sources import cache, files, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -384,8 +384,46 @@ def mc_accuracy_failed_left_out(v):
     scored = scoring.attach_scorer(candidates.all_candidates(tables), vowels_per_length)
     summary = choice_eval.dataset_accuracy(scoring.predict(scored), tables)
     unreadable = quarantine.unreadable_label(F.col("label"))
-    checks = [(name, tables[name], unreadable) for name in ("HellaSwag", "PIQA")]
-    return metrics.leave_out_failed(summary, quarantine.bad_rows(checks))
+    return metrics.leave_out_failed(summary, quarantine.bad_rows([("HellaSwag", tables["HellaSwag"], unreadable)]))
+
+
+def _staged_tasks(v: Views) -> str:
+    """A folder of Arrow datasets as they are published: several configurations, splits and shards."""
+    root = fresh_path(v.spark, "datasets")
+    arc = v.arc().drop("example_id").withColumn("id", F.lit("own"))
+    stage_arrow_files(arc, f"{root}/allenai___ai2_arc/ARC-Challenge", "arc-test", indexed=True)
+    stage_arrow_files(arc.limit(7), f"{root}/allenai___ai2_arc/ARC-Challenge", "arc-train")
+    stage_arrow_files(arc.limit(9), f"{root}/allenai___ai2_arc/ARC-Easy", "arc-test")
+    stage_arrow_files(v.piqa().drop("example_id"), f"{root}/baber___piqa", "piqa-validation")
+    for subject in SUBJECTS[:2]:
+        rows = v.mmlu().where(F.col("subject") == subject).drop("example_id", "subject")
+        stage_arrow_files(rows, f"{root}/cais___mmlu/{subject}", "mmlu-test")
+    return root
+
+
+@query
+def load_task_arrow(v):
+    loaded = candidates.arc(cache.load_tasks(v.spark, _staged_tasks(v))["ARC"])
+    return candidates.one_per_row(loaded).select("label", "context", "cand", "candidate")
+
+
+@query
+def load_answers(v):
+    """The test split of the first configuration only."""
+    root = fresh_path(v.spark, "datasets")
+    rows = v.gsm().select("question", "answer", (F.col("example_id") % 3 == 0).alias("held"))
+    stage_arrow_files(rows.where("held").drop("held"), f"{root}/gsm8k/main", "gsm8k-test")
+    stage_arrow_files(rows.where("not held").drop("held"), f"{root}/gsm8k/main", "gsm8k-train")
+    stage_arrow_files(rows.where("held").drop("held"), f"{root}/gsm8k/socratic", "gsm8k-test")
+    return cache.load_answers(v.spark, root).select("question", "answer")
+
+
+@query
+def evaluate_choices_job(v):
+    """The whole job over staged folders, read back from its summary."""
+    summary = fresh_path(v.spark, "summary")
+    jobs.evaluate_choices(v.spark, _staged_tasks(v), vowels_per_length, results.MODELS[0], summary)
+    return sinks.read_summaries(v.spark, summary).select("dataset", "value")
 
 
 @query
@@ -513,6 +551,14 @@ def jsonl_round_trip(v):
     )
 
 
+@query
+def training_rows(v):
+    """From a written mixture to rendered, cut and batched rows."""
+    path = fresh_path(v.spark, "mixture")
+    training_mixture.write_mixture(_mixture(v), path)
+    return training_mixture.training_rows(readers.read_jsonl(v.spark, path, readers.MIXTURE_SCHEMA), limit=20)
+
+
 @query
 def pairs_round_trip(v):
     path = fresh_path(v.spark, "pairs")

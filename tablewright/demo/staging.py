@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from tablewright.sources.arrow_files import locate
 
 
-def stage_arrow_files(df: DataFrame, folder: str) -> None:
-    """One Arrow stream file per partition.
+def stage_arrow_files(df: DataFrame, folder: str, name: str = "part", indexed: bool = False) -> None:
+    """One Arrow file per partition, named as a shard of ``name``: a stream, or the framing with an index of batches.
 
     A task writes under a name of its own and renames the file when it is
     complete, so a repeated task leaves one whole file.
@@ -25,9 +25,10 @@ def stage_arrow_files(df: DataFrame, folder: str) -> None:
         task = TaskContext.get()
         system, root = locate(folder)
         system.create_dir(root, recursive=True)
-        final = f"{root}/part-{task.partitionId():05d}.arrow"
+        final = f"{root}/{name}-{task.partitionId():05d}-of-00000.arrow"
+        new = pa.ipc.new_file if indexed else pa.ipc.new_stream
         partial = f"{final}.{task.taskAttemptId()}"
-        with system.open_output_stream(partial) as sink, pa.ipc.new_stream(sink, first.schema) as writer:
+        with system.open_output_stream(partial) as sink, new(sink, first.schema) as writer:
             writer.write_batch(first)
             for batch in batches:
                 writer.write_batch(batch)

@@ -108,14 +108,16 @@ def batch_plan(
     batch_rows: int = BATCH_ROWS,
     accumulation: int = ACCUMULATION,
     seed: int | str = SEED,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """(epoch, step, micro_batch) of every row, reshuffled each epoch.
 
-    The last step of an epoch keeps what is left over.
+    The last step of an epoch keeps what is left over. ``order`` names the columns
+    of ``keys`` that decide the order; all do by default.
     """
     per_step = batch_rows * accumulation
     rows = df.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    placed = with_position(rows, keys, within=["epoch"], seed=seed)
+    placed = with_position(rows, order or keys, within=["epoch"], seed=seed)
     position = F.col("position")
     return placed.select(
         *keys,

@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.operators.preference import label_index
@@ -107,8 +108,14 @@ def all_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """Debug run: the first ``n`` rows, taken before any label filter."""
-    return df.orderBy(key).limit(n)
+    """Debug run: the first ``n`` rows in the key's order, of each subject where there are subjects.
+
+    They are taken before any label filter.
+    """
+    if "subject" not in df.columns:
+        return df.orderBy(key).limit(n)
+    rank = F.row_number().over(W.partitionBy("subject").orderBy(key))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def one_per_row(candidates: DataFrame) -> DataFrame:

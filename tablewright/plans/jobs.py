@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators import answers, candidates, metrics, preference, quarantine, scoring
+from tablewright.operators import answers, budget, candidates, metrics, preference, quarantine, scoring
 from tablewright.plans import choice_eval, training_mixture
-from tablewright.sources import cache, sinks
+from tablewright.sources import cache, readers, sinks
 
 ANSWER_TASK = "GSM8K"
 
 
-def prepare_mixture(spark: SparkSession, root: str, output: str) -> None:
-    """Write the training mixture of the sources found, unless it is already there."""
+def prepare_mixture(spark: SparkSession, root: str, output: str) -> DataFrame:
+    """Write the training mixture of the sources found, unless it is there; the result counts the rows left out."""
     pairs = training_mixture.mixture(spark, cache.load_training_sources(spark, root))
     training_mixture.write_mixture(pairs, output)
+    return training_mixture.incomplete_pairs(pairs)
+
+
+def prepare_training(spark: SparkSession, mixture: str, output: str, **plan) -> None:
+    """From the written mixture to rendered, cut and batched training rows, as parquet in batch order."""
+    chats = readers.read_jsonl(spark, mixture, readers.MIXTURE_SCHEMA)
+    rows = training_mixture.training_rows(chats, **plan)
+    rows.orderBy("epoch", "position").write.parquet(output)
+
+
+def prepare_training_pairs(spark: SparkSession, pairs: str, output: str) -> None:
+    """The written pairs with their texts cut to the limits, as JSON lines."""
+    sinks.write_jsonl(budget.cut_pair(readers.read_jsonl(spark, pairs, readers.PAIR_SCHEMA)), output)
 
 
 def prepare_pairs(spark: SparkSession, root: str, output: str) -> DataFrame:
@@ -32,24 +45,18 @@ def evaluate_choices(
 ) -> None:
     """Score every task found with ``scorer`` and write the model's summary.
 
-    A dataset with unreadable labels is left out. ``debug`` takes the first
-    rows of each task only.
+    Every item is scored once. A dataset with unreadable labels is left out.
+    ``debug`` takes the first rows of each task only, or of each of its subjects.
     """
     tables = cache.load_tasks(spark, root)
     if debug:
-        tables = {task: candidates.first_rows(df, "example_id") for task, df in tables.items()}
+        tables = {task: candidates.first_rows(df, cache.KEY) for task, df in tables.items()}
     predictions = scoring.predict(scoring.attach_scorer(candidates.all_candidates(tables), scorer))
-    plain = [task for task in tables if task != "MMLU"]
-    summary = choice_eval.dataset_accuracy(predictions.where("dataset <> 'MMLU'"), plain)
-    if "MMLU" in tables:
-        subjects = choice_eval.subject_accuracy(predictions.where("dataset = 'MMLU'"))
-        summary = summary.unionByName(subjects)
-    checked = [task for task in ("HellaSwag", "PIQA") if task in tables]
-    if checked:
+    summary = choice_eval.whole_summary(predictions, tables)
+    if "HellaSwag" in tables:
         problem = quarantine.unreadable_label(F.col("label"))
-        summary = metrics.leave_out_failed(
-            summary, quarantine.bad_rows([(task, tables[task], problem) for task in checked])
-        )
+        bad = quarantine.bad_rows([("HellaSwag", tables["HellaSwag"], problem)])
+        summary = metrics.leave_out_failed(summary, bad)
     sinks.write_summary(sinks.choice_summary(summary.withColumn("model", F.lit(model))), output)
 
 
@@ -71,6 +78,6 @@ def evaluate_answers(
         items = candidates.first_rows(items, "example_id")
     detail = answers.grade(answers.attach_generator(items, "example_id", generator), "example_id")
     sinks.write_detail(detail.drop("example_id").withColumn("model", F.lit(model)), detail_output)
-    written = spark.read.schema("correct boolean").json(detail_output)
+    written = readers.read_jsonl(spark, detail_output, "correct boolean, model string").where(F.col("model") == model)
     summary = answers.answer_accuracy(written, ANSWER_TASK).withColumn("model", F.lit(model))
     sinks.write_summary(sinks.metric_summary(summary), summary_output)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,8 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a folder of its own. On a cluster
+    A session in one process without the setting gets a folder of its own, which is
+    removed when the process ends. On a cluster
     the setting is required: a machine-local folder would be lost with its
     executor and invisible to the others.
     """
@@ -46,9 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="tablewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -1,13 +1,18 @@
-"""Data source ``arrow_files``: Arrow IPC files, one Spark partition per file.
+"""Data source ``arrow_files``: Arrow IPC files, split by record batches.
 
-Both framings are read, the stream and the random-access file. Batches go to
-Spark as they are, one at a time, so a file need not fit in memory.
+Both framings are read. A random-access file gives a Spark partition for every run
+of batches of about ``split_bytes``; a stream has no index of its batches and stays
+one partition. Batches go to Spark as they are, one at a time, so a file need not
+fit in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cached_property
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,6 +23,9 @@ from pyspark.sql.types import StructType
 # First bytes of the random-access framing.
 FILE_MAGIC = b"ARROW1"
 
+SPLIT_BYTES = 64 << 20
+POSITION = ["_file", "_batch", "_row"]
+
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
@@ -40,54 +48,89 @@ def _expand(path: str) -> list[str]:
 
 
 @contextmanager
-def _open(path: str) -> Iterator[tuple[pa.Schema, Iterator[pa.RecordBatch]]]:
+def _open(path: str) -> Iterator[tuple[pa.Schema, int | None, Callable[[int, int | None], Iterator[pa.RecordBatch]]]]:
+    """Schema, number of batches if the framing has an index, and the batches of a range."""
     system, inner = locate(path)
     with system.open_input_file(inner) as source:
         magic = source.read(len(FILE_MAGIC))
         source.seek(0)
         if magic == FILE_MAGIC:
-            reader = pa.ipc.open_file(source)
-            yield reader.schema, (reader.get_batch(i) for i in range(reader.num_record_batches))
+            file = pa.ipc.open_file(source)
+            n = file.num_record_batches
+            yield file.schema, n, lambda low, high: (file.get_batch(i) for i in range(low, n if high is None else high))
         else:
-            reader = pa.ipc.open_stream(source)
-            yield reader.schema, iter(reader)
+            stream = pa.ipc.open_stream(source)
+            yield stream.schema, None, lambda low, high: islice(stream, low, high)
 
 
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class BatchRange(InputPartition):
+    def __init__(self, path: str, low: int, high: int | None):
+        self.path, self.low, self.high = path, low, high
 
 
 class ArrowFiles(DataSource):
-    """``spark.read.format("arrow_files").load(paths)``; several paths are joined by commas."""
+    """``spark.read.format("arrow_files").load(path)``, or ``option("paths", <JSON list>)`` for several.
+
+    With ``option("position", "true")`` every row also has its ``_file``, ``_batch`` and ``_row``
+    in the batch.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "arrow_files"
 
+    @cached_property
     def _files(self) -> list[str]:
-        return [f for path in self.options["path"].split(",") for f in _expand(path)]
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        files = [f for path in paths for f in _expand(path)]
+        if not files:
+            raise FileNotFoundError(", ".join(paths))
+        return files
 
     def schema(self) -> StructType:
-        files = self._files()
-        if not files:
-            raise FileNotFoundError(self.options["path"])
-        with _open(files[0]) as (schema, _):
-            return from_arrow_schema(schema)
+        with _open(self._files[0]) as (schema, _, _):
+            found = from_arrow_schema(schema)
+        if self.options.get("position") == "true":
+            found = found.add("_file", "string").add("_batch", "long").add("_row", "long")
+        return found
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ArrowFilesReader(self._files(), schema)
+        return ArrowFilesReader(self._files, schema, int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
 class ArrowFilesReader(DataSourceReader):
-    def __init__(self, files: list[str], schema: StructType):
+    def __init__(self, files: list[str], schema: StructType, split_bytes: int):
         self.files = files
-        self.columns = schema.fieldNames()
-
-    def partitions(self) -> list[FilePartition]:
-        return [FilePartition(path) for path in self.files]
-
-    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        with _open(partition.path) as (_, batches):
-            for batch in batches:
-                yield batch.select(self.columns)
+        self.split_bytes = split_bytes
+        self.columns = [c for c in schema.fieldNames() if c not in POSITION]
+        self.position = len(self.columns) < len(schema.fieldNames())
+
+    def partitions(self) -> list[BatchRange]:
+        ranges = []
+        for path in self.files:
+            system, inner = locate(path)
+            size = system.get_file_info(inner).size
+            with _open(path) as (_, n, _):
+                if n is None:
+                    ranges.append(BatchRange(path, 0, None))
+                    continue
+            step = max(1, n * self.split_bytes // max(size, 1))
+            ranges += [BatchRange(path, low, min(low + step, n)) for low in range(0, n, step)]
+        return ranges
+
+    def read(self, partition: BatchRange) -> Iterator[pa.RecordBatch]:
+        with _open(partition.path) as (_, _, batches):
+            for number, batch in enumerate(batches(partition.low, partition.high), partition.low):
+                chosen = batch.select(self.columns)
+                if self.position:
+                    n = batch.num_rows
+                    chosen = pa.RecordBatch.from_arrays(
+                        [
+                            *chosen.columns,
+                            pa.array([partition.path] * n, pa.string()),
+                            pa.array([number] * n, pa.int64()),
+                            pa.array(range(n), pa.int64()),
+                        ],
+                        names=[*self.columns, *POSITION],
+                    )
+                yield chosen

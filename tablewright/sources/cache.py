@@ -1,16 +1,20 @@
-"""Datasets in a folder per dataset and subset, as parquet.
+"""Datasets in a folder per dataset and subset, as Arrow or parquet files.
 
-Only which split each dataset has is decided on the driver, one row per folder;
-the files of that split are then one scan.
+Which files a dataset gives is decided over their names alone; they are then one
+scan. Keys hold paths below the root, so seeded choices stay the same where the
+folder is moved.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.mixing import TRAINING_SUBJECTS
-from tablewright.sources import files
+from tablewright.sources import files, readers
 
 # Folder of each evaluated task, and of the worked answers.
 TASK_FOLDERS = {
@@ -31,24 +35,34 @@ TRAINING_SOURCES = {
     "subjects": ("cais___mmlu", TRAINING_SUBJECTS, ["test", "dev"]),
 }
 
-EXTENSION = ".parquet"
-
+EXTENSIONS = [".arrow", ".parquet"]
+# Columns that a source may have itself; the key takes their place.
+KEY, SOURCE_KEYS = "example_id", ["example_id", "id"]
 
-def _read(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:
-    """The matching files below ``folders``, with an id and the folder names of each row."""
-    table = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(*folders)
-    )
-    file = F.col("_metadata.file_path")
-    return table.select(
-        "*", F.concat_ws("#", file, F.col("_metadata.row_index")).alias("example_id"), file.alias("_file")
-    )
 
+def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The files as one table with a key: the path below ``root`` and the row's place in the file.
 
-def _pattern(splits: list[str], rank: int, match: str) -> str:
-    if rank == len(splits):
-        return f"*{EXTENSION}"
-    return f"*{splits[rank]}{EXTENSION}" if match == "suffix" else f"*{splits[rank]}*{EXTENSION}"
+    Places are written with leading zeros, so the key's order is that of the rows.
+    """
+    parts = []
+    for extension in EXTENSIONS:
+        chosen = [p for p in paths if p.endswith(extension)]
+        if not chosen:
+            continue
+        if extension == ".parquet":
+            table = spark.read.parquet(*chosen)
+            file, places = F.col("_metadata.file_path"), [F.col("_metadata.row_index")]
+        else:
+            table = readers.read_columnar(spark, *chosen, format="arrow_files", position=True)
+            file, places = F.col("_file"), [F.col("_batch"), F.col("_row")]
+        # file systems spell the slashes after their scheme in several ways
+        base = re.sub(r"^\w+:/*", "/", root.rstrip("/"))
+        below = F.substring_index(file, f"{base}/", -1)
+        key = F.concat_ws("#", below, *(F.lpad(p.cast("string"), 12, "0") for p in places))
+        kept = [c for c in table.columns if c not in SOURCE_KEYS and c not in ("_file", "_batch", "_row")]
+        parts.append(table.select(*kept, key.alias(KEY)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def load(
@@ -61,29 +75,31 @@ def load(
     otherwise: str = "any",
     by_subset: bool = False,
 ) -> DataFrame | None:
-    """The chosen split of a dataset, or None if there is none.
+    """All shards of the chosen split of a dataset, or None if there is none.
 
-    ``by_subset`` chooses a split for every subset on its own and adds the
-    subset as ``subject``; else the whole folder has one choice.
+    A dataset gives one split of one subset, those of the smallest path among the
+    best splits. With ``subsets`` or ``by_subset`` every subset gives a split of its
+    own; ``by_subset`` also adds the subset as ``subject``. Only paths come to the
+    driver, as many as the dataset has files.
     """
-    listed = files.list_files(spark, root, f"*{EXTENSION}").where(F.col("dataset") == folder)
+    listed = files.list_dataset(spark, root, folder, EXTENSIONS)
+    if listed is None:
+        return None
     if subsets is not None:
         listed = listed.where(F.col("subset").isin(subsets))
     group = F.col("subset") if by_subset or subsets else F.lit("")
-    chosen = files.resolve_split(listed.withColumn("subset", group), splits, match, otherwise, EXTENSION)
-    by_rank: dict[int, list[str]] = {}
-    # one row per subset of this dataset
-    for row in chosen.where("path is not null").collect():
-        by_rank.setdefault(row["rank"], []).append("/".join(filter(None, [root.rstrip("/"), folder, row.subset])))
-    if not by_rank:
+    chosen = files.resolve_split(listed.withColumn("subset", group), splits, match, otherwise, EXTENSIONS)
+    family = files.shard_family(F.col("path")).alias("family")
+    shards = listed.withColumn("family", files.shard_family(F.col("path"))).join(
+        chosen.where("path is not null").select(family), "family", "left_semi"
+    )
+    paths = sorted(r["path"] for r in shards.select("path").collect())
+    if not paths:
         return None
-    table = None
-    for rank, paths in sorted(by_rank.items()):
-        part = _read(spark, sorted(paths), _pattern(splits, rank, match))
-        table = part if table is None else table.unionByName(part)
+    table = _read(spark, root, paths)
     if by_subset:
-        table = table.withColumn("subject", F.regexp_extract("_file", f"/{folder}/([^/]+)/", 1))
-    return table.drop("_file")
+        table = table.withColumn("subject", F.get(F.split(KEY, "/"), 1))
+    return table
 
 
 def load_tasks(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -101,7 +117,7 @@ def load_training_sources(spark: SparkSession, root: str) -> dict[str, DataFrame
         for name, (folder, subsets, splits) in TRAINING_SOURCES.items()
     }
     return {
-        name: table.withColumnRenamed("example_id", "id")
+        name: table.withColumnRenamed(KEY, "id")
         for name, table in loaded.items()
         if table is not None
     }
@@ -116,7 +132,7 @@ def load_pair_source(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_answers(spark: SparkSession, root: str) -> DataFrame:
-    """The worked-answer dataset, whichever files it has."""
+    """The worked-answer dataset: all shards of its smallest path."""
     table = load(spark, root, ANSWER_FOLDER, splits=[])
     if table is None:
         raise FileNotFoundError(f"no files for {ANSWER_FOLDER} below {root}")

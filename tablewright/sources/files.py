@@ -7,6 +7,9 @@ files, and ties go to the smallest path instead of the directory order.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,35 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def list_dataset(spark: SparkSession, root: str, folder: str, extensions: list[str]) -> DataFrame | None:
+    """Files table of the one dataset ``root``/``folder``, with each path below ``root``; None if it is not there."""
+    base = f"{root.rstrip('/')}/{folder}"
+    pattern = "*{" + ",".join(extensions) + "}"
+    try:
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", pattern)
+            .load(base)
+        )
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    below = F.substring_index("path", f"/{folder}/", -1)
+    return files.select(
+        F.lit(folder).alias("dataset"),
+        F.when(below.contains("/"), F.substring_index(below, "/", 1)).otherwise(F.lit("")).alias("subset"),
+        "path",
+        F.concat(F.lit(f"{folder}/"), below).alias("relative"),
+    )
+
+
+def shard_family(path: Column) -> Column:
+    """A path without its shard number and extension; the shards of a split have the same."""
+    return F.regexp_replace(path, r"(-\d+-of-\d+)?\.[A-Za-z0-9]+$", "")
+
+
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """(prefix, run_dir, entry, mtime) of the files of ``root``/run/entry/….
 
@@ -50,16 +82,19 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def split_rank(path: Column, splits: list[str], match: str = "contains", extension: str = ".arrow") -> Column:
+def split_rank(
+    path: Column, splits: list[str], match: str = "contains", extension: str | list[str] = ".arrow"
+) -> Column:
     """0-based rank of the first split a file name matches; null if none.
 
     ``contains`` looks anywhere in the file name, ``suffix`` right before the
     extension.
     """
     name = F.substring_index(path, "/", -1)
+    ends = "|".join(map(re.escape, [extension] if isinstance(extension, str) else extension))
     rank = F.lit(None).cast("int")
     for i, split in reversed(list(enumerate(splits))):
-        hit = name.contains(split) if match == "contains" else name.endswith(f"{split}{extension}")
+        hit = name.contains(split) if match == "contains" else name.rlike(rf"{re.escape(split)}(?:{ends})$")
         rank = F.when(hit, F.lit(i)).otherwise(rank)
     return rank
 

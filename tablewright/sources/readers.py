@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -13,15 +14,19 @@ MIXTURE_SCHEMA = "messages array<struct<role string, content string>>"
 PAIR_SCHEMA = "prompt string, chosen string, rejected string"
 
 
-def read_columnar(spark: SparkSession, *paths: str, format: str = "parquet") -> DataFrame:
-    """Columnar files under the file schema; ``format="arrow_files"`` reads Arrow files."""
+def read_columnar(spark: SparkSession, *paths: str, format: str = "parquet", position: bool = False) -> DataFrame:
+    """Columnar files under the file schema; ``format="arrow_files"`` reads Arrow files.
+
+    With ``position`` Arrow rows have their file, batch and row in the batch.
+    """
     if format == "parquet":
         return spark.read.parquet(*paths)
     if format == "arrow_files":
         from tablewright.sources.arrow_files import ArrowFiles
 
         spark.dataSource.register(ArrowFiles)
-        return spark.read.format("arrow_files").load(",".join(paths))
+        reader = spark.read.format("arrow_files").option("paths", json.dumps(paths))
+        return (reader.option("position", "true") if position else reader).load()
     raise ValueError(f"unknown format {format}")
 
 

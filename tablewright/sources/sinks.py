@@ -18,14 +18,26 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended well: its success mark is there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"), "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_once(df: DataFrame, path: str) -> None:
-    """JSON lines, unless the output is already there."""
-    write_jsonl(df, path, mode="ignore")
+    """JSON lines, unless the output is already there; what a broken write has left is replaced."""
+    if not is_complete(df.sparkSession, path):
+        write_jsonl(df, path, mode="overwrite")
+
+
+def _per_model(df: DataFrame):
+    """A writer that replaces the folders of the models in ``df`` and no others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model")
 
 
 def write_detail(detail: DataFrame, path: str) -> None:
-    """Detailed results as JSON lines, one folder per model."""
-    detail.write.partitionBy("model").option("ignoreNullFields", "false").json(path)
+    """Detailed results as JSON lines, one folder per model; other models' folders stay."""
+    _per_model(detail).option("ignoreNullFields", "false").json(path)
 
 
 def choice_summary(accuracies: DataFrame) -> DataFrame:
@@ -46,8 +58,8 @@ def metric_summary(accuracies: DataFrame, metric: str = ACCURACY) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """CSV with a header, one folder per model; a summary has a few rows per model."""
-    summary.write.partitionBy("model").option("header", True).csv(path)
+    """CSV with a header, one folder per model; other models' folders stay. A summary has a few rows per model."""
+    _per_model(summary).option("header", True).csv(path)
 
 
 def read_summaries(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -3,19 +3,18 @@
 import re
 
 import pytest
-from __spark_entry__ import queries
 from pyspark.sql import functions as F
+from tablewright.demo.queries import QUERIES
 from tablewright.operators import bigrams, ranking
 
-QUERIES = queries()
-
 MAP_ONLY = [
     "gsm_prompt", "sft_labelled", "sft_positional", "sft_qa", "sft_code", "sft_rendered", "cand_arc",
     "cand_mmlu", "cand_csqa", "token_logprob",
 ]
 ACTIONS = {  # these write before they return a plan
     "summary_read", "leaderboard", "detail_round_trip", "jsonl_round_trip",
-    "pairs_round_trip", "write_once", "arrow_scan",
+    "pairs_round_trip", "write_once", "arrow_scan", "load_task_arrow", "load_answers", "evaluate_choices_job",
+    "training_rows",
 }
 PYTHON = {"generator_pandas", "scorer_pandas", "mc_accuracy_failed_left_out", "summary_text"}
 
@@ -49,7 +48,7 @@ def test_rows_are_not_gathered_in_one_task(spark, folder, name):
 def test_cap_does_not_sort_the_rows(spark, folder):
     df = ranking.sample_cap(spark.read.parquet(f"{folder}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
     main, subquery = plan(df).split("Subquery", 1)
-    assert "Exchange" not in main and "TakeOrderedAndProject" in subquery and "rangepartitioning" not in subquery
+    assert "Exchange" not in main and "TakeOrdered" not in subquery and "rangepartitioning" not in subquery
 
 
 def test_sample_does_not_shuffle_its_rows(spark, folder):
