@@ -74,7 +74,7 @@ def training_rows(chats: DataFrame, limit: int = budget.MAX_TOKENS, **plan) -> D
 
 
 def write_mixture(pairs: DataFrame, path: str) -> None:
-    """The mixture as chats in seeded order, unless it is already written."""
-    ordered = ranking.shuffled(pairs, ["source", "id"])
+    """The mixture's complete rows as chats in seeded order, unless it is already written."""
+    ordered = ranking.shuffled(pairs.where(pair_problem().isNull()), ["source", "id"])
     chats = ordered.select(formatting.chat_pair(F.col("prompt"), F.col("target")).alias("messages"))
     write_once(chats, path)

@@ -106,3 +106,147 @@ def test_evaluate_answers(spark, root, zero, tmp_path):
     row = sinks.read_summaries(spark, summary).head()
     assert (row.model, row.dataset, row.metric) == ("SFT_LoRA", "GSM8K", "Accuracy")
     assert row.value == pytest.approx(sum(x["correct"] for x in lines) / 1500, abs=5e-5)
+
+
+def put_arrow(df, root, name, batch_rows=1000, indexed=True):
+    import pyarrow as pa
+
+    path = root / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    table = df.toArrow()
+    new = pa.ipc.new_file if indexed else pa.ipc.new_stream
+    with new(str(path), table.schema) as writer:
+        writer.write_table(table, max_chunksize=batch_rows)
+
+
+@pytest.fixture(scope="module")
+def arrow_root(views, tmp_path_factory):
+    """Arrow datasets with keys of their own, two configurations, several splits and shards."""
+    root = tmp_path_factory.mktemp("arrow, cache")
+    arc = views.arc().withColumn("id", F.lit("own"))
+    put_arrow(arc.limit(30), root, "allenai___ai2_arc/ARC-Challenge/0.0.0/arc-test-00000-of-00002.arrow", 7)
+    put_arrow(arc.limit(12), root, "allenai___ai2_arc/ARC-Challenge/0.0.0/arc-test-00001-of-00002.arrow", 7, indexed=False)
+    put_arrow(arc.limit(50), root, "allenai___ai2_arc/ARC-Easy/0.0.0/arc-test.arrow")
+    put_arrow(arc, root, "allenai___ai2_arc/ARC-Challenge/0.0.0/arc-train.arrow")
+    for subject in ("virology", "sociology"):
+        put_arrow(views.mmlu().drop("subject", "example_id").limit(40), root, f"cais___mmlu/{subject}/m-test.arrow", 3)
+    gsm = views.gsm()
+    put_arrow(gsm.limit(30), root, "gsm8k/main/gsm-train.arrow")
+    put_arrow(gsm.limit(10), root, "gsm8k/main/gsm-test.arrow")
+    put_arrow(gsm.limit(10), root, "gsm8k/socratic/gsm-test.arrow")
+    return root
+
+
+def test_one_split_of_one_configuration(spark, arrow_root):
+    tasks = cache.load_tasks(spark, str(arrow_root))
+    assert {t: df.count() for t, df in tasks.items()} == {"ARC": 42, "MMLU": 80}
+    assert "id" not in tasks["ARC"].columns and tasks["ARC"].select("example_id").distinct().count() == 42
+    assert cache.load_answers(spark, str(arrow_root)).count() == 10
+    sources = cache.load_training_sources(spark, str(arrow_root))
+    assert {n: df.count() for n, df in sources.items()} == {"science": 200, "math": 30, "subjects": 40}
+
+
+def test_keys_do_not_hold_the_place_of_the_folder(spark, arrow_root, tmp_path):
+    import shutil
+
+    moved = tmp_path / "elsewhere"
+    shutil.copytree(arrow_root, moved)
+    keys = [sorted(r.id for r in cache.load_training_sources(spark, str(r))["science"].collect()) for r in (arrow_root, moved)]
+    assert keys[0] == keys[1] and keys[0][0].startswith("allenai___ai2_arc/ARC-Challenge/0.0.0/arc-train.arrow#")
+
+
+def test_items_are_scored_once(spark, arrow_root, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(context, texts):
+        calls.add(1)
+        return [float(len(t)) for t in texts]
+
+    from tablewright.operators import candidates, scoring
+    from tablewright.plans import choice_eval
+
+    tables = cache.load_tasks(spark, str(arrow_root))
+    n_items = candidates.all_candidates(tables).count()
+    jobs.evaluate_choices(spark, str(arrow_root), scorer, "baseline", str(tmp_path / "s"))
+    assert calls.value == n_items
+    summary = choice_eval.whole_summary(scoring.predict(scoring.attach_scorer(candidates.all_candidates(tables), scorer)), tables)
+    assert summary._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+
+def test_debug_takes_the_first_rows_of_every_subject(spark, arrow_root):
+    from tablewright.operators.candidates import first_rows
+
+    tasks = cache.load_tasks(spark, str(arrow_root))
+    rows = first_rows(tasks["MMLU"], cache.KEY).collect()
+    assert sorted((r.subject, r.example_id[-25:]) for r in rows) == [
+        (s, f"{b:012d}#{i:012d}") for s in ("sociology", "virology") for b, i in [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+    ]
+    rows = first_rows(tasks["ARC"], cache.KEY).collect()
+    assert [r.example_id[-1] for r in rows] == list("01234")
+
+
+def test_two_models_share_their_folders(spark, arrow_root, zero, tmp_path):
+    from tablewright.operators import results
+
+    detail, summary = str(tmp_path / "detail"), str(tmp_path / "summary")
+    right = lambda prompts: ["The answer is 7."] * len(prompts)
+    for model, generator in (("baseline", zero), ("mine", right), ("baseline", zero)):
+        jobs.evaluate_answers(spark, str(arrow_root), generator, model, detail, summary)
+    jobs.evaluate_choices(spark, str(arrow_root), lambda c, t: [1.0] * len(t), "mine", str(tmp_path / "summary/choices"))
+    assert spark.read.json(detail).count() == 20
+    figures = sinks.read_summaries(spark, summary)
+    assert results.repeated_figures(figures).count() == 0
+    board = {r.dataset: r for r in results.leaderboard(figures).collect()}
+    assert board["GSM8K"]["mine"] == 0.0 and board["GSM8K"]["mine_vs_baseline"] == 0.0 and board["ARC"]["mine"] > 0
+    assert board["ARC"]["baseline"] is None
+
+
+def test_repeated_figures_are_reported_and_not_chosen(spark):
+    from tablewright.operators import results
+
+    rows = [("baseline", "GSM8K", "Accuracy", 0.229), ("baseline", "GSM8K", "Accuracy", 0.6808)]
+    figures = spark.createDataFrame(rows, "model string, dataset string, metric string, value double")
+    assert results.repeated_figures(figures).head().n == 2
+    assert results.leaderboard(figures).head()["baseline"] is None
+
+
+def test_a_broken_write_is_replaced(spark, tmp_path):
+    (tmp_path / "out/_temporary").mkdir(parents=True)
+    sinks.write_once(spark.range(3), str(tmp_path / "out"))
+    sinks.write_once(spark.range(9), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_arrow_files_are_split_by_batches(spark, arrow_root):
+    name = str(arrow_root / "allenai___ai2_arc/ARC-Challenge/0.0.0/arc-test-00000-of-00002.arrow")
+    from tablewright.sources.arrow_files import ArrowFiles
+
+    spark.dataSource.register(ArrowFiles)
+    read = spark.read.format("arrow_files").option("split_bytes", "1000").load(name)
+    assert read.rdd.getNumPartitions() == 5 and read.count() == 30
+    stream = name.replace("00000-of", "00001-of")
+    assert readers.read_columnar(spark, name, stream, format="arrow_files").count() == 42
+
+
+def test_mixture_leaves_out_rows_without_target(spark, views, tmp_path):
+    inputs = {"subjects": views.mmlu().withColumnRenamed("example_id", "id").withColumn("answer", F.col("answer") * 5)}
+    from tablewright.plans import training_mixture
+
+    pairs = training_mixture.mixture(spark, inputs)
+    bad = training_mixture.incomplete_pairs(pairs).collect()
+    assert len(bad) == 1 and bad[0].reason == training_mixture.NO_TARGET
+    training_mixture.write_mixture(pairs, str(tmp_path / "m"))
+    rows = readers.read_jsonl(spark, str(tmp_path / "m"), readers.MIXTURE_SCHEMA)
+    assert rows.count() == pairs.count() - bad[0].n_rows
+    assert rows.where("messages[1].content is null").count() == 0
+
+
+def test_training_rows_and_pairs(spark, root, tmp_path):
+    jobs.prepare_mixture(spark, str(root), str(tmp_path / "m"))
+    jobs.prepare_training(spark, str(tmp_path / "m"), str(tmp_path / "rows"), epochs=1)
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert rows.count() == 5895 and rows.agg(F.max("position")).head()[0] == 5894
+    assert rows.where("startswith(text, '<|im_start|>user')").count() == 5895
+    jobs.prepare_pairs(spark, str(root), str(tmp_path / "p"))
+    jobs.prepare_training_pairs(spark, str(tmp_path / "p"), str(tmp_path / "cut"))
+    assert readers.read_jsonl(spark, str(tmp_path / "cut"), readers.PAIR_SCHEMA).count() == 400
