@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import arrow_schema, full_text, record_batch
 
 SEED_WORDS = 3
-SPREAD = 4
-LEAST_SCORE = 0.6
+SPREAD = 2
+LEAST_SCORE = 0.5
 BLOCK_BYTES = 16 << 20
 
 # Points of the alignment.
