@@ -1,8 +1,9 @@
 """Benchmark passages in training texts, by rare seeds and local alignment.
 
-Of every stretch of ``SPREAD`` word n-grams of a benchmark item the one in the fewest
-training documents is a seed, so any copied run of ``SPREAD + SEED_WORDS - 1`` words
-holds one, however often the passage itself occurs. Seeds found in a document give
+Every word n-gram of a benchmark item that few training documents hold is a seed. Of
+every stretch of ``SPREAD`` n-grams the one in the fewest documents is one too, so any
+copied run of ``SPREAD + SEED_WORDS - 1`` words holds a seed, however often the passage
+itself occurs. Seeds found in a document give
 the places where an item may stand, and a Smith-Waterman alignment of words scores
 each: 1 for a whole copy, less for every word changed, left out or put in.
 
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import arrow_schema, full_text, record_batch
 
 SEED_WORDS = 3
-SPREAD = 2
+SPREAD = 4
+# Rare: in at most this share of the documents, or this many.
+RARE_SHARE, RARE_COUNT = 0.0002, 100
 LEAST_SCORE = 0.5
 BLOCK_BYTES = 16 << 20
 
@@ -114,12 +117,13 @@ class Block:
         made = [self.item_grams(w) for _, w in self.items]
         return np.unique(np.concatenate(made)) if made else np.zeros(0, np.int64)
 
-    def choose_seeds(self, frequency: dict[int, int]) -> None:
-        """In every stretch of ``SPREAD`` n-grams of an item the one in the fewest documents, the first of several."""
+    def choose_seeds(self, frequency: dict[int, int], n_docs: int) -> None:
+        """Rare n-grams, and of every ``SPREAD`` in a row the one in the fewest documents, the first of several."""
+        rare = max(RARE_COUNT, RARE_SHARE * n_docs)
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for number, (_, words) in enumerate(self.items):
             grams = self.item_grams(words).tolist()
-            chosen = set()
+            chosen = {i for i, gram in enumerate(grams) if frequency.get(gram, 0) <= rare}
             for low in range(max(1, len(grams) - SPREAD + 1)):
                 stretch = range(low, min(low + SPREAD, len(grams)))
                 chosen.add(min(stretch, key=lambda i: (frequency.get(grams[i], 0), i)))
@@ -197,19 +201,23 @@ def _with_seeds(docs: DataFrame, block: Block) -> Block:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, grams = shared.value
-        total = np.zeros(len(grams), np.int64)
+        total, n_docs = np.zeros(len(grams), np.int64), 0
         for batch in batches:
+            n_docs += batch.num_rows
             for text in batch.column(0).to_pylist():
                 own = block.document_grams(block.numbered(text))
                 total[np.searchsorted(grams, np.unique(own[_among(own, grams)]))] += 1
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(grams[where], pa.int64()), pa.array(total[where], pa.int64())], names=["gram", "n_docs"]
+            [pa.array([-1, *grams[where]], pa.int64()), pa.array([n_docs, *total[where]], pa.int64())],
+            names=["gram", "n_docs"],
         )
 
     found = docs.select(docs["text"]).mapInArrow(counted, "gram long, n_docs long")
-    summed = found.groupBy("gram").agg(F.sum("n_docs").alias("n_docs")).toArrow()  # no more rows than the block has n-grams
-    block.choose_seeds(dict(zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True)))
+    # one row more than the block has n-grams at most; -1 stands for the documents
+    summed = found.groupBy("gram").agg(F.sum("n_docs").alias("n_docs")).toArrow()
+    frequency = dict(zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True))
+    block.choose_seeds(frequency, frequency.pop(-1, 0))
     return block
 
 
