@@ -339,6 +339,17 @@ def token_scores(shift: int) -> str:
         FROM token_lp GROUP BY example_id, cand"""
 
 
+def board(figures: str) -> str:
+    """The leaderboard of (model, dataset, metric, value) rows, after the CTEs that make them."""
+    return f"""all_rows AS (SELECT model, dataset, metric, value FROM {figures} UNION ALL
+            SELECT model, 'MMLU', metric, avg(value) FROM {figures} WHERE starts_with(dataset, 'MMLU - ')
+            GROUP BY model, metric),
+        wide AS (SELECT dataset, metric, {', '.join(f"max(value) FILTER (model = '{m}') AS {m}" for m in MODELS)}
+            FROM all_rows GROUP BY dataset, metric)
+        SELECT dataset, metric, {', '.join(f'round({m}, 8) AS {m}' for m in MODELS)},
+            {', '.join(f'round({m} - {MODELS[0]}, 8) AS {m}_vs_{MODELS[0]}' for m in MODELS[1:])} FROM wide"""
+
+
 def resolved(splits: list[str], suffix: bool, fallback: bool) -> str:
     name = "regexp_extract(path, '[^/]*$')"
     hits = [
@@ -533,14 +544,9 @@ ORACLES = {
     "summary_text": f"""{with_views('mmlu', 'hella', 'answers', 'summary', 'shown_summary')}
         SELECT model, dataset, shown AS accuracy FROM shown_summary""",
     "summary_read": f"{with_views(*SUMMARY_VIEWS)} SELECT model, dataset, metric, value FROM read_summary",
-    "leaderboard": f"""{with_views(*SUMMARY_VIEWS)},
-        all_rows AS (SELECT model, dataset, metric, value FROM read_summary UNION ALL
-            SELECT model, 'MMLU', metric, avg(value) FROM read_summary WHERE starts_with(dataset, 'MMLU - ')
-            GROUP BY model, metric),
-        wide AS (SELECT dataset, metric, {', '.join(f"max(value) FILTER (model = '{m}') AS {m}" for m in MODELS)}
-            FROM all_rows GROUP BY dataset, metric)
-        SELECT dataset, metric, {', '.join(f'round({m}, 8) AS {m}' for m in MODELS)},
-            {', '.join(f'round({m} - {MODELS[0]}, 8) AS {m}_vs_{MODELS[0]}' for m in MODELS[1:])} FROM wide""",
+    "leaderboard": f"{with_views(*SUMMARY_VIEWS)}, {board('read_summary')}",
+    "leaderboard_pivot": f"""{with_views('mmlu', 'hella', 'answers', 'summary')},
+        figures AS (SELECT model, dataset, 'Accuracy' AS metric, accuracy AS value FROM summary), {board('figures')}""",
     "detail_round_trip": f"{with_views('gsm')} SELECT 'baseline' AS model, * FROM ({GRADED})",
     "latest_run": runs(True),
     "latest_final_run": runs(False),

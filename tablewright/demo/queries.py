@@ -472,6 +472,14 @@ def leaderboard(v):
     return board.select("dataset", "metric", *(F.round(c, 8).alias(c) for c in values))
 
 
+@query
+def leaderboard_pivot(v):
+    """A leaderboard of figures that are tables already, without files."""
+    figures = _accuracies(v).select("model", "dataset", F.lit(sinks.ACCURACY).alias("metric"), F.col("accuracy").alias("value"))
+    board = results.leaderboard(figures, results.MODELS)
+    return board.select("dataset", "metric", *(F.round(c, 8).alias(c) for c in board.columns[2:]))
+
+
 @query
 def detail_round_trip(v):
     path = fresh_path(v.spark, "detail")
