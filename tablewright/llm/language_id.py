@@ -11,7 +11,6 @@ of the probabilities.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,6 @@ UNDETERMINED = "und"
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
 _ORDERS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _SHIFT = np.uint32(32 - BUCKETS.bit_length() + 1)
 
@@ -121,7 +119,7 @@ class LanguageModel:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         where, value = _features(text, self.idf)
         chance = softmax((value @ self.weights[where] + self.weights[-1]) / self.temperature)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd import ODD
 
 from tablewright.llm.decontamination import align, contaminated, without_benchmark, words_of
 

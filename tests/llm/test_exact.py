@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import ODD  # noqa: F401  (tests/llm)
+from odd import ODD
 from pyspark.sql import functions as F
 
 from tablewright.llm import exact_index

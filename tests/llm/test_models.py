@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd import ODD
 from pyspark.sql import functions as F
 
 from tablewright.llm import language_id, pieces, quality_crf

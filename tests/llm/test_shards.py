@@ -5,7 +5,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from conftest import ODD
+from odd import ODD
 
 from tablewright.llm import shard_packing
 from tablewright.llm.shard_packing import best_fit_decreasing, near_equal

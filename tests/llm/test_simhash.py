@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import ODD
+from odd import ODD
 
 from tablewright.llm import simhash_links
 from tablewright.llm.components import connected_components

@@ -4,7 +4,7 @@ import re
 
 import brute
 import pytest
-from conftest import ODD
+from odd import ODD
 
 from tablewright.llm import pii_bootstrap, secret_index
 from tablewright.llm.secret_index import trigram_query
