@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablewright.session import fresh_path
 
@@ -61,6 +64,29 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 
+ROWS_TOGETHER = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, after limiting the session's Arrow batches to ``ROWS_TOGETHER`` rows.
+
+    Spark buffers a whole batch on both sides of the Python worker, which for long
+    texts is most of a worker's memory. The setting changes no result.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_SETTING)) <= ROWS_TOGETHER:
+        conf.set(_ROWS_SETTING, str(ROWS_TOGETHER))
+    return df.mapInArrow(function, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that a task holds few long texts as Python objects at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 ARROW_TYPES = {
     "long": pa.int64(),
     "int": pa.int32(),

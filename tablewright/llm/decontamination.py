@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import arrow_schema, full_text, record_batch
+from tablewright.llm.common import arrow_schema, full_text, map_batches, record_batch, slices
 
 SEED_WORDS = 3
 SPREAD = 4
@@ -202,7 +202,7 @@ def _with_seeds(docs: DataFrame, block: Block) -> Block:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, grams = shared.value
         total, n_docs = np.zeros(len(grams), np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             n_docs += batch.num_rows
             for text in batch.column(0).to_pylist():
                 own = block.document_grams(block.numbered(text))
@@ -213,7 +213,7 @@ def _with_seeds(docs: DataFrame, block: Block) -> Block:
             names=["gram", "n_docs"],
         )
 
-    found = docs.select(docs["text"]).mapInArrow(counted, "gram long, n_docs long")
+    found = map_batches(docs.select(docs["text"]), counted, "gram long, n_docs long")
     # one row more than the block has n-grams at most; -1 stands for the documents
     summed = found.groupBy("gram").agg(F.sum("n_docs").alias("n_docs")).toArrow()
     frequency = dict(zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True))
@@ -237,13 +237,13 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE,
         shared = spark.sparkContext.broadcast(_with_seeds(docs, block))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     rows += [(id_, *hit) for hit in shared.value.search(text, least)]
                 yield record_batch(schema, rows)
 
-        result = result.unionByName(rows.mapInArrow(search, FOUND))
+        result = result.unionByName(map_batches(rows, search, FOUND))
     return result
 
 
@@ -254,9 +254,9 @@ def without_benchmark(docs: DataFrame, items: DataFrame, least: float = LEAST_SC
         shared = spark.sparkContext.broadcast(_with_seeds(docs, block))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not shared.value.search(t, least) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_batches(docs, clean, docs.schema)
     return docs

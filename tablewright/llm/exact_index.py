@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLANK, arrow_schema, full_text, id_key, rows_named_by, stored
+from tablewright.llm.common import BLANK, arrow_schema, full_text, id_key, map_batches, rows_named_by, slices, stored
 
 ENTRY = (
     "row long, doc_id long, hash long, digest binary, entry long, "
@@ -35,7 +35,7 @@ OWNED = "entry long, keep_row long, keep_id long, group_size long"
 DIRECTORY_BITS = 16
 BUCKET_CAPACITY = 4096
 FILTER_BITS = 26
-HELD_BYTES = 64 << 20
+HELD_BYTES = 32 << 20
 HIGHEST = 2**63 - 1
 
 
@@ -110,7 +110,7 @@ def _collapse(held_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list] = {}
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             row, ids, hashes, chars, text = (
                 batch.column(c).to_pylist() for c in ("row", "doc_id", "hash", "chars", "bytes")
             )
@@ -178,7 +178,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     chain: dict[bytes, list] = {}
     current, waiting = None, []
-    for batch in batches:
+    for batch in slices(batches):
         for hash_, entry, n_rows, chars, id_, row, text in zip(
             *(
                 batch.column(c).to_pylist()
@@ -228,7 +228,7 @@ def exact_groups(
         F.unhex(F.sha2("plain", 256)).alias("digest"),
         F.col("plain").cast("binary").alias("bytes"),
     )
-    index = stored(rows.mapInArrow(_collapse(held_bytes), ENTRY), "exact-index")
+    index = stored(map_batches(rows, _collapse(held_bytes), ENTRY), "exact-index")
     members = index.where("row is not null").select("row", "doc_id", "digest", "entry")
     entries = index.where("row is null").drop("row", "doc_id", "digest")
 
@@ -248,10 +248,12 @@ def exact_groups(
     repeated = spark.sparkContext.broadcast(words)
 
     columns = "hash long, entry long, n_rows long, best_chars long, best_id long, best_row long, bytes binary"
-    travelling = entries.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(
-        _route(directory, repeated, FILTER_BITS), f"{columns}, bucket int"
+    travelling = map_batches(
+        entries.select(*[c.split()[0] for c in columns.split(", ")]),
+        _route(directory, repeated, FILTER_BITS),
+        f"{columns}, bucket int"
     )
-    owned = travelling.repartition("bucket").sortWithinPartitions("hash").mapInArrow(_own, OWNED)
+    owned = map_batches(travelling.repartition("bucket").sortWithinPartitions("hash"), _own, OWNED)
     alone = entries.select(
         "entry", F.col("best_row").alias("own_row"), F.col("best_id").alias("own_id"), "n_rows"
     )

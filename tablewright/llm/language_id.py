@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import order_key
-from tablewright.llm.common import arrow_schema, record_batch, unsigned_crc32
+from tablewright.llm.common import arrow_schema, map_batches, record_batch, slices, unsigned_crc32
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 500
@@ -133,7 +133,7 @@ def is_held_out() -> Column:
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(BUCKETS + 1, np.int64), 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             total[:-1] += ngram_counts(text) > 0
             n += 1
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     if not languages:
         return LanguageModel([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
 
-    found = rows.select("text").mapInArrow(_document_counts, "bucket int, n_docs long")
+    found = map_batches(rows.select("text"), _document_counts, "bucket int, n_docs long")
     summed = found.groupBy("bucket").agg(F.sum("n_docs").alias("n_docs")).toArrow()  # at most BUCKETS + 1 rows
     frequency = np.zeros(BUCKETS + 1)
     frequency[summed.column("bucket").to_numpy()] = summed.column("n_docs").to_numpy()
@@ -185,7 +185,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     )
     draw = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     drawn = rows.withColumn("place", place).where(draw < F.try_element_at(share, F.col("lang")))
-    sparse = drawn.select("text", "lang", "place").mapInArrow(
+    sparse = map_batches(
+        drawn.select("text", "lang", "place"),
         _sparse_rows(idf), "lang string, place string, buckets array<int>, values array<float>"
     )
     number = {lang: i for i, lang in enumerate(languages)}
@@ -209,10 +210,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, held, texts = (batch.column(i).to_pylist() for i in range(3))
             rows = [(i, h, *shared.value.predict(t)) for i, h, t in zip(ids, held, texts, strict=True)]
             yield record_batch(schema, rows)
 
     rows = docs.select(docs["doc_id"].cast("long"), is_held_out().alias("held_out"), docs["text"])
-    return rows.mapInArrow(predicted, PREDICTED)
+    return map_batches(rows, predicted, PREDICTED)

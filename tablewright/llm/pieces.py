@@ -25,14 +25,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import full_text
+from tablewright.llm.common import full_text, map_batches, slices
 
 # The mark for a blank, the penalty of an unknown character, the public model file.
 BLANK_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 REMEMBERED_LENGTH = 48
 
 
@@ -193,7 +193,7 @@ def encode_column(docs: DataFrame, key: str, text: Column, vocabulary: Vocabular
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(key_, shared)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [segmenter.encode(t) for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -201,7 +201,7 @@ def encode_column(docs: DataFrame, key: str, text: Column, vocabulary: Vocabular
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "ids"])
 
     rows = docs.select(docs[key].alias("key"), full_text(text).alias("text"))
-    return rows.mapInArrow(encoded, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return map_batches(rows, encoded, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode_column(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -210,7 +210,7 @@ def decode_column(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(key_, shared)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(batch.schema.get_field_index("ids"))
             values = column.values.to_numpy(zero_copy_only=False)
             ends = column.offsets.to_pylist()
@@ -224,7 +224,7 @@ def decode_column(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(decoded, f"{schema}, decoded string")
+    return map_batches(encoded, decoded, f"{schema}, decoded string")
 
 
 def piece_rows(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:

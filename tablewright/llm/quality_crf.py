@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import order_key
-from tablewright.llm.common import arrow_schema, record_batch, unsigned_crc32
+from tablewright.llm.common import arrow_schema, map_batches, record_batch, slices, unsigned_crc32
 
 SAMPLE_PER_LABEL = 1000
 STEPS = 120
 RATE = 0.15
 PENALTY = 1e-3
 KEEP_AT = 0.3
+SCORED_TOGETHER = 2048  # documents whose chains are summed side by side
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -228,7 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     texts = docs.select(docs["doc_id"], docs["text"]).join(
         F.broadcast(drawn), F.col("doc_id") == F.col("drawn_id")
     )
-    sample = texts.select("text", "quality", "place").mapInArrow(
+    sample = map_batches(
+        texts.select("text", "quality", "place"),
         _sampled_features, "place string, quality int, lines int, features array<float>"
     )
     rows = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["place"], r["lines"], r["features"][:N_LINE]))
@@ -246,14 +248,14 @@ def score(docs: DataFrame, field: QualityField) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SCORED_TOGETHER):
             ids, held, texts = (batch.column(i).to_pylist() for i in range(3))
             scores = shared.value.scores([t or "" for t in texts])
             predicted = [int(s >= KEEP_AT) for s in scores]
             yield record_batch(schema, list(zip(ids, held, scores, predicted, strict=True)))
 
     rows = docs.select(docs["doc_id"].cast("long"), is_held_out().alias("held_out"), docs["text"])
-    return rows.mapInArrow(scored, SCORED)
+    return map_batches(rows, scored, SCORED)
 
 
 def of_good_quality(docs: DataFrame, field: QualityField) -> DataFrame:
@@ -264,9 +266,9 @@ def of_good_quality(docs: DataFrame, field: QualityField) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SCORED_TOGETHER):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             scores = shared.value.scores([t or "" for t in texts])
             yield batch.filter(pa.array([s >= KEEP_AT for s in scores]))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_batches(docs, kept, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import arrow_schema, id_key, record_batch, rows_named_by, stored
+from tablewright.llm.common import arrow_schema, id_key, map_batches, record_batch, rows_named_by, slices, stored
 from tablewright.llm.components import connected_components
 
 WORDS = 4
@@ -64,7 +64,7 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(FINGERPRINTS)
-    for batch in batches:
+    for batch in slices(batches):
         rows = zip(batch.column(0).to_pylist(), map(fingerprint, batch.column(1).to_pylist()), strict=True)
         yield record_batch(schema, list(rows))
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     never the smallest unless there is no other. An empty table gives an empty result.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    prints = stored(rows.mapInArrow(_fingerprints, FINGERPRINTS), "prints")
+    prints = stored(map_batches(rows, _fingerprints, FINGERPRINTS), "prints")
     nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "nodes")
     n_nodes = nodes.count()
     place = F.conv(F.substring(F.md5(F.col("print").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
