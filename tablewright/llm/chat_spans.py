@@ -14,7 +14,6 @@ may depend on the half window before it.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import arrow_schema, full_text, record_batch
+from tablewright.llm.common import arrow_schema, full_text, map_batches, record_batch
 
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
@@ -40,12 +39,13 @@ DIGESTS = (
 OPEN, CLOSE, END = "<|", "|>\n", "</s>\n"
 ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "|": "\\p"}
 _PIECE = re.compile(r"<\|([^|]*)\|>\n(.*)</s>\n", re.DOTALL)
+_ESCAPED = re.compile("[" + "".join(map(re.escape, ESCAPES)) + "]")
 _PLAIN = {code: plain for plain, code in ESCAPES.items()}
 
 
 def escape(text: str) -> str:
     """Reversible, and free of any control string such as ``</s>``, ``<|user|>`` or ``[INST]``."""
-    return text.translate(str.maketrans(ESCAPES))
+    return _ESCAPED.sub(lambda m: ESCAPES[m[0]], text)
 
 
 def unescape(text: str) -> str:
@@ -58,7 +58,17 @@ def marked_turns(turns: Sequence[Turn]) -> str:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+    """Length of the common beginning; the usual case, that one continues the other, is seen at once."""
+    if b.startswith(a):
+        return len(a)
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def span_of_next(history: list[Turn], before: str, turn: Turn, template: Template) -> tuple[str, str, int, int, bool]:
@@ -117,7 +127,7 @@ def formatted_turns(conversations: DataFrame, template: Template = marked_turns,
         conversations["turn"].alias("turn"),
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
-    return ordered.mapInArrow(_spans(template, window), SPANS)
+    return map_batches(ordered, _spans(template, window), SPANS)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,4 +165,4 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
 
     ``turns`` come from :func:`formatted_turns` with the package's own template.
     """
-    return turns.mapInArrow(_digests, DIGESTS)
+    return map_batches(turns, _digests, DIGESTS)
