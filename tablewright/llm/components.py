@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import stored
 
 
+def _with(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v, least). The join is on a digest of the node, so both sides are shuffled for it alone.
+
+    Adaptive execution then splits the rows of a node with very many neighbours, which
+    it could not do in one stage with the aggregation.
+    """
+    digest = F.xxhash64("u").alias("digest")
+    return edges.select("*", digest).join(least.select("*", digest), ["digest", "u"]).drop("digest")
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """(u, least): the smallest of each node and its neighbours; ``edges`` are (u, v)."""
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
@@ -19,13 +29,13 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return _with(both, _least(both)).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _least(down)
-    moved = down.join(least, "u").where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    moved = _with(down, least).where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.unionByName(least.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
 
 
