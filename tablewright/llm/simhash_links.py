@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import arrow_schema, id_key, map_batches, record_batch, rows_named_by, slices, stored
+from tablewright.llm.common import full_text, id_key, map_batches, rows_named_by, slices, stored
 from tablewright.llm.components import connected_components
 
 WORDS = 4
@@ -41,6 +41,7 @@ MOST_FLIPS = 2
 CANDIDATE_COST = 0.05
 
 FINGERPRINTS = "doc_id long, print long"
+FINGERPRINTS_OF_ROWS = "doc_id long, chars int, digest string, print long"
 
 
 def fingerprint(text: str | None) -> int:
@@ -63,10 +64,11 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema(FINGERPRINTS)
+    """The last column is the text and becomes its fingerprint; the others stay."""
     for batch in slices(batches):
-        rows = zip(batch.column(0).to_pylist(), map(fingerprint, batch.column(1).to_pylist()), strict=True)
-        yield record_batch(schema, list(rows))
+        *others, texts = batch.columns
+        prints = pa.array(map(fingerprint, texts.to_pylist()), pa.int64())
+        yield pa.RecordBatch.from_arrays([*others, prints], names=[*batch.schema.names[:-1], "print"])
 
 
 @dataclass
@@ -202,16 +204,8 @@ def _cross_links(nodes: DataFrame, plan: Plan, distance: int) -> DataFrame:
     return groups.distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per row of ``docs``.
-
-    Fingerprints within ``distance`` bits are linked; a component is what links
-    reach, and its id the smallest doc_id there. Null texts count as empty and a
-    text without words has fingerprint 0, linked like any other. A null doc_id is
-    never the smallest unless there is no other. An empty table gives an empty result.
-    """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    prints = stored(map_batches(rows, _fingerprints, FINGERPRINTS), "prints")
+def _rooted(prints: DataFrame, distance: int) -> DataFrame:
+    """(print, first_id, root) of every fingerprint: its smallest doc_id, and the fingerprint that names its component."""
     nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "nodes")
     n_nodes = nodes.count()
     place = F.conv(F.substring(F.md5(F.col("print").cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
@@ -228,9 +222,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         "groups",
     )
     outer = connected_components(_cross_links(inner.select("print", "group"), plan, distance))
-    rooted = inner.join(outer, inner["group"] == outer["node"], "left").select(
+    return inner.join(outer, inner["group"] == outer["node"], "left").select(
         "print", "first_id", F.coalesce("root", "group").alias("root")
     )
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row per row of ``docs``.
+
+    Fingerprints within ``distance`` bits are linked; a component is what links
+    reach, and its id the smallest doc_id there. Null texts count as empty and a
+    text without words has fingerprint 0, linked like any other. A null doc_id is
+    never the smallest unless there is no other. An empty table gives an empty result.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    prints = stored(map_batches(rows, _fingerprints, FINGERPRINTS), "prints")
+    rooted = _rooted(prints, distance)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(ids, "root").select("print", "component_id")
     return prints.join(named, "print").select(
@@ -239,11 +246,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component; columns unchanged.
+    """One row of ``docs`` of every component, that with the smallest doc_id; columns unchanged.
 
-    A row without doc_id stays only in a component of such rows. Of rows that share a
-    doc_id the longest stays.
+    Rows without doc_id come after all others of their component. Of rows of a
+    component that share a doc_id, or have none, the longest text stays, then the
+    one with the smallest digest. The row is found again by its doc_id and text
+    digest, so one doc_id may stand on rows of several components.
     """
-    groups = near_duplicates(docs, distance)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return rows_named_by(docs, first.select(id_key(F.col("doc_id"))), id_key(docs["doc_id"]))
+    text = full_text(docs["text"])
+    digest = F.md5(text)
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.char_length(text).alias("chars"), digest.alias("digest"), docs["text"]
+    )
+    prints = stored(map_batches(rows, _fingerprints, FINGERPRINTS_OF_ROWS), "prints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.col("chars"), "digest")
+    firsts = prints.groupBy("print").agg(F.min(order).alias("first"))
+    rooted = _rooted(prints, distance)
+    first = firsts.join(rooted, "print").groupBy("root").agg(F.min("first").alias("first"))
+    kept = first.select(id_key(F.col("first.doc_id")), "first.digest")
+    return rows_named_by(docs, kept, id_key(docs["doc_id"]), digest)

@@ -1,5 +1,6 @@
 """SimHash links against all pairs."""
 
+import hashlib
 import random
 import re
 
@@ -96,6 +97,23 @@ def test_one_row_of_each_group_stays(odd):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(components)
 
 
+def test_one_row_of_every_component_stays_whatever_its_id(documents):
+    draw = random.Random(11)
+    text = lambda n: " ".join(f"v{draw.randrange(5000)}" for _ in range(n))
+    anonymous = [text(60) for _ in range(5)]
+    shared_a, shared_b = text(60), text(90)
+    pairs = [(None, t) for t in anonymous]
+    pairs += [(None, anonymous[0].upper()), (None, anonymous[1] + "\n\n")]  # near copies without id: the longer stays
+    pairs += [(5, shared_a), (8, shared_a), (5, shared_b), (9, shared_b), (3, anonymous[2])]
+    rows = [(r["doc_id"], r["text"]) for r in simhash_links.one_of_each_group(documents(pairs)).collect()]
+    least = min(anonymous[0], anonymous[0].upper(), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert sorted(rows, key=repr) == sorted(
+        [(None, least), (None, anonymous[1] + "\n\n"), (3, anonymous[2]), (None, anonymous[3]), (None, anonymous[4])]
+        + [(5, shared_a), (5, shared_b)],
+        key=repr,
+    )
+
+
 @pytest.mark.parametrize("n", [10, 10**4, 10**6, 10**9])
 def test_any_plan_finds_every_pair(n):
     draw = np.random.default_rng(n)
