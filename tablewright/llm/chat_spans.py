@@ -6,9 +6,9 @@ with the one before, the rest is the new turn's span, else the template has
 rewritten history. Two renderings with different single characters in place of
 the text show where the text lies within the span.
 
-Conversations are streamed in turn order, so a task holds ``WINDOW`` turns at
-most. A conversation longer than that is continued on its latest turns: a span
-may depend on the half window before it.
+Every turn is rendered with all turns before it, as a template may depend on the
+first turn or on their number. A task streams conversations in turn order and holds
+one of them; its time grows with the square of a conversation's length.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from tablewright.llm.common import arrow_schema, full_text, map_batches, record_
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
-WINDOW = 64
 SPANS = (
     "conv_id long, position long, role string, start long, end long, text_start long, text_end long, "
     "piece string, rewrites_history boolean"
@@ -84,7 +83,7 @@ def span_of_next(history: list[Turn], before: str, turn: Turn, template: Templat
     return after, after[shared:], max(0, head - shared), len(after) - tail - shared, shared < len(before)
 
 
-def _spans(template: Template, window: int):
+def _spans(template: Template, window: int | None):
     schema = arrow_schema(SPANS)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +111,17 @@ def _spans(template: Template, window: int):
     return spans
 
 
-def formatted_turns(conversations: DataFrame, template: Template = marked_turns, window: int = WINDOW) -> DataFrame:
+def formatted_turns(conversations: DataFrame, template: Template = marked_turns, window: int | None = None) -> DataFrame:
     """One row per turn, in order: its place in the formatted text, and the piece of it that the turn made.
 
     Turns are ordered by ``turn``, nulls first, then role and text; repeated turns
     all stay. Null roles and texts are empty, and rows without conv_id are one
     conversation. An empty table gives an empty result. Partitions are in
     conversation and turn order, and whole conversations lie in one.
+
+    ``window`` is the caller's word that no turn's piece depends on turns further back
+    than half of it; long conversations are then continued on their latest turns.
+    Without it the results are those of the real outputs for any template.
     """
     rows = conversations.select(
         conversations["conv_id"].cast("long").alias("conv_id"),

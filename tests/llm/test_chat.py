@@ -1,5 +1,6 @@
 """Spans of turns under black-box templates."""
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -48,6 +49,30 @@ def test_a_template_that_rewrites_history_is_noticed(spark):
     assert any(r["rewrites_history"] for r in formatted_turns(frame(spark, rows), counted).collect())
 
 
+@pytest.mark.parametrize("name", ["headed", "forgetful"])
+def test_long_conversations_are_rendered_from_their_first_turn(spark, name):
+    def headed(turns):
+        """The system message first, alternation from the first turn asked for, turns numbered."""
+        system = [text for role, text in turns[:1] if role == "system"]
+        rest = turns[len(system) :]
+        if any(role != ("user", "assistant")[i % 2] for i, (role, _) in enumerate(rest)):
+            raise ValueError("roles must alternate")
+        return "".join(f"<<{text}>>" for text in system) + "".join(f"[{i}] {text}\n" for i, (_, text) in enumerate(rest))
+
+    def forgetful(turns):
+        """The first turn is blotted out once there are a hundred."""
+        return "".join("gone\n" if i == 0 and len(turns) >= 100 else f"{text}\n" for i, (_, text) in enumerate(turns))
+
+    template = {"headed": headed, "forgetful": forgetful}[name]
+    turns = [("system", "be kind"), *[(("user", "assistant")[i % 2], f"turn {i}") for i in range(149)]]
+    made = formatted_turns(frame(spark, [(1, i, *turn) for i, turn in enumerate(turns)]), template).orderBy("position").collect()
+    for n, r in enumerate(made):
+        before, after = template(turns[:n]), template(turns[: n + 1])
+        assert after[r["start"] : r["end"]] == r["piece"] and r["end"] == len(after)
+        assert after[r["text_start"] : r["text_end"]] == turns[n][1]
+        assert r["rewrites_history"] == (not after.startswith(before)) == (name == "forgetful" and n == 99)
+
+
 def test_odd_turns(spark):
     rows = [(None, 0, None, None), (2, None, "user", "first"), (2, 1, "user", "b"), (2, 1, "user", "b"), (2, 1, "assistant", "a")]
     made = formatted_turns(frame(spark, rows)).orderBy("conv_id", "position").collect()
