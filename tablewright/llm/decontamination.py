@@ -1,9 +1,8 @@
-"""Benchmark passages in training texts, by rare seeds and local alignment.
+"""Benchmark passages in training texts, by seeds and local alignment.
 
-Every word n-gram of a benchmark item that few training documents hold is a seed. Of
-every stretch of ``SPREAD`` n-grams the one in the fewest documents is one too, so any
-copied run of ``SPREAD + SEED_WORDS - 1`` words holds a seed, however often the passage
-itself occurs. Seeds found in a document give
+Every word n-gram of a benchmark item is a seed, so any copied run of ``SEED_WORDS``
+words is found, however often it occurs and whatever the other documents hold. Seeds
+found in a document give
 the places where an item may stand, and a Smith-Waterman alignment of words scores
 each: 1 for a whole copy, less for every word changed, left out or put in.
 
@@ -25,9 +24,6 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import arrow_schema, full_text, map_batches, record_batch, slices
 
 SEED_WORDS = 3
-SPREAD = 4
-# Rare: in at most this share of the documents, or this many.
-RARE_SHARE, RARE_COUNT = 0.0002, 100
 LEAST_SCORE = 0.5
 BLOCK_BYTES = 16 << 20
 
@@ -82,8 +78,13 @@ class Block:
             if words:
                 self.items.append((id_, np.array(words, np.int64)))
         self.base = len(self.number) + 1
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        self.sorted_seeds = np.zeros(0, np.int64)
+        self.has_short = any(len(w) < SEED_WORDS for _, w in self.items)
+        # the (item, place) of every n-gram
+        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for number, (_, item) in enumerate(self.items):
+            for i, gram in enumerate(self.item_grams(item).tolist()):
+                self.seeds[gram].append((number, i))
+        self.sorted_seeds = np.array(sorted(self.seeds), np.int64)
 
     def grams(self, words: np.ndarray, width: int = SEED_WORDS) -> np.ndarray:
         """One number per run of ``width`` words; -1 where a word is in no item."""
@@ -109,29 +110,6 @@ class Block:
         grams = self.grams(words)
         return np.concatenate([grams, -1 - words]) if self.has_short else grams
 
-    @property
-    def has_short(self) -> bool:
-        return any(len(w) < SEED_WORDS for _, w in self.items)
-
-    def all_grams(self) -> np.ndarray:
-        made = [self.item_grams(w) for _, w in self.items]
-        return np.unique(np.concatenate(made)) if made else np.zeros(0, np.int64)
-
-    def choose_seeds(self, frequency: dict[int, int], n_docs: int) -> None:
-        """Rare n-grams, and of every ``SPREAD`` in a row the one in the fewest documents, the first of several."""
-        rare = max(RARE_COUNT, RARE_SHARE * n_docs)
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for number, (_, words) in enumerate(self.items):
-            grams = self.item_grams(words).tolist()
-            chosen = {i for i, gram in enumerate(grams) if frequency.get(gram, 0) <= rare}
-            for low in range(max(1, len(grams) - SPREAD + 1)):
-                stretch = range(low, min(low + SPREAD, len(grams)))
-                chosen.add(min(stretch, key=lambda i: (frequency.get(grams[i], 0), i)))
-            for i in sorted(chosen):
-                seeds[grams[i]].append((number, i))
-        self.seeds = dict(seeds)
-        self.sorted_seeds = np.array(sorted(self.seeds), np.int64)
-
     def search(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """(item_id, score, start, end) of the items that align with ``text``, in words of the text."""
         words = self.numbered(text)
@@ -139,9 +117,18 @@ class Block:
         n_grams = max(0, len(words) - SEED_WORDS + 1)
         hits = np.flatnonzero(_among(grams, self.sorted_seeds))
         regions: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        there = np.zeros(self.base, bool)
+        there[words] = True
+        # no alignment has more matches than the item's words that occur in the text
+        may: dict[int, bool] = {}
         for at in hits.tolist():
             place = at if at < n_grams else at - n_grams
             for number, offset in self.seeds[int(grams[at])]:
+                if number not in may:
+                    item = self.items[number][1]
+                    may[number] = bool(there[item].sum() >= least * len(item))
+                if not may[number]:
+                    continue
                 # the item around the seed, with room for half its length of words put in
                 length = len(self.items[number][1])
                 room = length // 2 + 1
@@ -195,32 +182,6 @@ def blocks_of(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Bloc
         yield Block(held)
 
 
-def _with_seeds(docs: DataFrame, block: Block) -> Block:
-    grams = block.all_grams()
-    shared = docs.sparkSession.sparkContext.broadcast((block, grams))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, grams = shared.value
-        total, n_docs = np.zeros(len(grams), np.int64), 0
-        for batch in slices(batches):
-            n_docs += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                own = block.document_grams(block.numbered(text))
-                total[np.searchsorted(grams, np.unique(own[_among(own, grams)]))] += 1
-        where = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *grams[where]], pa.int64()), pa.array([n_docs, *total[where]], pa.int64())],
-            names=["gram", "n_docs"],
-        )
-
-    found = map_batches(docs.select(docs["text"]), counted, "gram long, n_docs long")
-    # one row more than the block has n-grams at most; -1 stands for the documents
-    summed = found.groupBy("gram").agg(F.sum("n_docs").alias("n_docs")).toArrow()
-    frequency = dict(zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True))
-    block.choose_seeds(frequency, frequency.pop(-1, 0))
-    return block
-
-
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, start, end): items that stand in documents, the best place of each.
 
@@ -234,7 +195,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE,
     schema = arrow_schema(FOUND)
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"])
     for block in blocks_of(items, block_bytes):
-        shared = spark.sparkContext.broadcast(_with_seeds(docs, block))
+        shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -251,7 +212,7 @@ def without_benchmark(docs: DataFrame, items: DataFrame, least: float = LEAST_SC
     """The rows of ``docs`` in which no item stands; columns unchanged, and no text is shuffled."""
     spark = docs.sparkSession
     for block in blocks_of(items, block_bytes):
-        shared = spark.sparkContext.broadcast(_with_seeds(docs, block))
+        shared = spark.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):

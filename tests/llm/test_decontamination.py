@@ -72,6 +72,16 @@ def test_hits_are_those_of_whole_alignments(spark, documents, corpus, block_byte
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in rows} == pytest.approx(expected)
 
 
+def test_edited_copy_of_a_passage_that_many_documents_hold(spark, documents):
+    words = [f"q{i}" for i in range(15)]
+    edited = [f"edit{i}" if i in (2, 5, 8, 9) else w for i, w in enumerate(words)]
+    docs = [(i, f"some text {i} " + " ".join(words)) for i in range(300)] + [(300, "else " + " ".join(edited) + " end")]
+    item = items_of(spark, [(1, " ".join(words))])
+    rows = {r["doc_id"]: r["score"] for r in contaminated(documents(docs), item).collect()}
+    assert rows == pytest.approx({i: 1.0 for i in range(300)} | {300: 0.6})
+    assert without_benchmark(documents(docs), item).collect() == []
+
+
 def test_documents_left(spark, documents, corpus):
     docs, items = corpus
     df = documents(docs)
