@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.llm import (
+    bpe_rounds,
     chat_spans,
     decontamination,
     exact_index,
     language_id,
+    negative_mining,
+    periodic_runs,
     pieces,
     pii_bootstrap,
     quality_crf,
@@ -67,6 +71,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_spans.conversation_digests(chat_spans.formatted_turns(rows.unionByName(added)))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_rounds.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negative_mining.whole_vectors(vectors, "vec_id", label, "embedding")
+    return negative_mining.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), with_copies=True)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -78,6 +97,9 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_bpe": op11_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
@@ -114,4 +136,25 @@ ORACLES = {
                CAST(sum(10 + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id
     """,
+    "op12_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+                   list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5
+    """,
 }

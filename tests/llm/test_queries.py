@@ -19,12 +19,12 @@ def test_query_equals_its_sql(spark, folder, name):
     assert spark_table(QUERIES[name], spark, folder) == duck_table(ORACLES[name], connect(folder))
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_has_a_query(n):
     assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
 
 
-@pytest.mark.parametrize("name", ["op1_quality", "op2_secrets", "op3_personal_data", "op4_simhash", "op6_shard_packing", "op7_language", "op8_pieces"])
+@pytest.mark.parametrize("name", ["op1_quality", "op2_secrets", "op3_personal_data", "op4_simhash", "op6_shard_packing", "op7_language", "op8_pieces", "op11_bpe", "op13_periodic_runs"])
 def test_one_row_per_document(spark, folder, name):
     rows = QUERIES[name](spark, folder).select("doc_id").collect()
     documents = table(spark, folder, "documents").select("doc_id").collect()
