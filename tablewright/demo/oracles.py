@@ -408,6 +408,10 @@ def profile() -> str:
     return " UNION ALL ".join(parts)
 
 
+SHOWN_ACCURACIES = f"""SELECT dataset, rtrim(printf('%.2f%%', accuracy * 100), '%')::DOUBLE / 100.0 AS value,
+            NULL::VARCHAR AS reason, NULL::BIGINT AS n_rows FROM (
+            SELECT CASE WHEN subset <> '' THEN dataset || ' - ' || subset ELSE dataset END AS dataset, {ACCURACY}"""
+
 ORACLES = {
     "gsm_prompt": f"""{with_views('gsm')} SELECT example_id, 'Question: ' || question || chr(10)
         || 'Let''s think step by step.' || chr(10) || 'Answer:' AS prompt FROM gsm""",
@@ -419,6 +423,8 @@ ORACLES = {
     "generator_pandas": f"""{with_views('gsm')} SELECT example_id, question, answer AS target,
         'So it is ' || trim(string_split(answer, '####')[2]) || '.' AS prediction,
         {number('answer')} || '.' AS extracted_pred, {number('answer')} AS extracted_target, true AS correct FROM gsm""",
+    "generator_resumed": f"""{with_views('gsm')} SELECT example_id, CASE WHEN example_id % 2 = 0
+        THEN 'So it is ' || trim(string_split(answer, '####')[2]) || '.' ELSE 'Nothing.' END AS prediction FROM gsm""",
     "pass_at_k": f"""SELECT user_id, n, c, CASE WHEN n < 3 THEN NULL WHEN n - c < 3 THEN 1.0
         ELSE round(1 - (n - c)::DOUBLE / n * (n - c - 1) / (n - 1) * (n - c - 2) / (n - 2), 6) END AS pass_at_k
         FROM ({PASS})""",
@@ -512,6 +518,8 @@ ORACLES = {
     ),
     "scorer_pandas": f"""{with_views('hella')}, items AS (SELECT 'X' AS dataset, '' AS subset, * FROM
         ({CANDIDATES['hella']})), {vowel_predictions('items')} SELECT example_id, label, prediction FROM predicted""",
+    "scorer_batched": f"""{with_views('hella')}, items AS (SELECT 'X' AS dataset, '' AS subset, * FROM
+        ({CANDIDATES['hella']})), {vowel_predictions('items')} SELECT example_id, label, prediction FROM predicted""",
     "mc_predict": f"{BIGRAMS}, {PREDICTED} SELECT * FROM predicted",
     "mc_accuracy": f"{BIGRAMS}, {PREDICTED} SELECT dataset, {ACCURACY} FROM predicted GROUP BY dataset",
     "mc_accuracy_subject": f"""{BIGRAMS}, {PREDICTED} SELECT
@@ -528,11 +536,17 @@ ORACLES = {
         SELECT dataset, reason, count(*) AS n_rows FROM problems WHERE reason IS NOT NULL GROUP BY dataset, reason""",
     "load_task_arrow": f"{with_views('arc')} SELECT label, context, cand, candidate FROM ({CANDIDATES['arc']})",
     "load_answers": f"{with_views('gsm')} SELECT question, answer FROM gsm WHERE example_id % 3 = 0",
-    "evaluate_choices_job": f"""{with_views(*TASK_VIEWS)}, {ALL_CANDIDATES}, {vowel_predictions('items')}
-        SELECT dataset, rtrim(printf('%.2f%%', accuracy * 100), '%')::DOUBLE / 100.0 AS value FROM (
-            SELECT CASE WHEN subset <> '' THEN dataset || ' - ' || subset ELSE dataset END AS dataset, {ACCURACY}
-            FROM predicted WHERE dataset IN ('ARC', 'PIQA') OR subset IN ('{SUBJECTS[0]}', '{SUBJECTS[1]}')
-            GROUP BY ALL)""",
+    "evaluate_choices_job": f"""{with_views(*TASK_VIEWS, 'damaged')}, {ALL_CANDIDATES}, {vowel_predictions('items')}
+        {SHOWN_ACCURACIES}
+            FROM predicted WHERE dataset <> 'HellaSwag' GROUP BY ALL)
+        UNION ALL SELECT 'HellaSwag', NULL, 'label is not an integer', count(*) FROM damaged WHERE {LABEL_INDEX} IS NULL""",
+    "damaged_dataset_reported": f"""{with_views(*TASK_VIEWS)}, {ALL_CANDIDATES}, {vowel_predictions('items')},
+        failing AS (SELECT subject, count(*) AS n FROM mmlu WHERE len(choices) > 4 GROUP BY subject)
+        {SHOWN_ACCURACIES}
+            FROM predicted WHERE dataset = 'ARC' OR dataset = 'MMLU' AND subset NOT IN (SELECT subject FROM failing)
+            GROUP BY ALL)
+        UNION ALL SELECT 'MMLU - ' || subject, NULL, 'scorer: RuntimeError', n FROM failing
+        UNION ALL SELECT 'PIQA', NULL, 'DamagedFile', 1""",
     "training_rows": f"""{MIXTURE}, chats AS (SELECT {turn("'user'", 'prompt')} || {turn("'assistant'", 'target')} AS whole
             FROM mixture WHERE prompt IS NOT NULL AND target IS NOT NULL),
         sizes AS (SELECT whole, md5(whole) AS chat, {words_and_gaps('whole')} FROM chats),
@@ -548,6 +562,9 @@ ORACLES = {
     "leaderboard_pivot": f"""{with_views('mmlu', 'hella', 'answers', 'summary')},
         figures AS (SELECT model, dataset, 'Accuracy' AS metric, accuracy AS value FROM summary), {board('figures')}""",
     "detail_round_trip": f"{with_views('gsm')} SELECT 'baseline' AS model, * FROM ({GRADED})",
+    "model_results_replaced": f"""{with_views('gsm')}, graded AS ({GRADED})
+        SELECT model, example_id, correct FROM graded, (VALUES ('baseline'), ('SFT_LoRA')) m(model)
+        WHERE correct OR model = 'SFT_LoRA'""",
     "latest_run": runs(True),
     "latest_final_run": runs(False),
     "resolve_split": resolved(["validation", "test", "train"], suffix=False, fallback=True),
@@ -561,6 +578,9 @@ ORACLES = {
     "jsonl_round_trip": f"{MIXTURE} SELECT prompt, target FROM mixture",
     "pairs_round_trip": f"""{with_views('hella')}, pairs AS ({PAIRS.format(table='hella')})
         SELECT prompt, chosen, rejected FROM ({WRAPPED})""",
+    "arrow_stream_scan": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
+    "arrow_index_scan": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders,
+        (SELECT max(o_orderkey) // 2 AS middle FROM orders) WHERE o_orderkey > middle AND o_orderkey <= middle + 2000""",
     "arrow_scan": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "write_once": "SELECT o_orderkey, o_custkey FROM orders",
     "missing_input_skipped": """SELECT coalesce(source, 'total') AS source, count(*) AS n_rows, 1 AS n_missing

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.demo.staging import stage_arrow_files
-from tablewright.demo.views import KEYS, SUBJECTS, Views
+from tablewright.demo.staging import damage_first_file, stage_arrow_files
+from tablewright.demo.views import KEYS, Views
 from tablewright.functions.text import percent_text
 from tablewright.operators import (
     answers,
@@ -31,6 +31,7 @@ from tablewright.operators import (
 from tablewright.plans import choice_eval, jobs, training_mixture
 from tablewright.session import fresh_path
 from tablewright.sources import cache, files, readers, sinks
+from tablewright.sources.arrow_files import index_arrow_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +89,18 @@ def generator_pandas(v):
     )
 
 
+@query
+def generator_resumed(v):
+    """A second run meets the texts of the first, which had every other question, and generates the others only."""
+    store = fresh_path(v.spark, "texts")
+    half = v.gsm().where("example_id % 2 = 0")
+    answers.attach_stored_generator(half, "example_id", read_back_numbers, "baseline", store)
+    nothing = lambda prompts: ["Nothing."] * len(prompts)
+    return answers.attach_stored_generator(v.gsm(), "example_id", nothing, "baseline", store, commit_rows=4000).select(
+        "example_id", "prediction"
+    )
+
+
 @query
 def pass_at_k(v):
     return metrics.pass_at_k(v.table("events"), "user_id", F.col("event_type") == "click", k=3).select(
@@ -359,6 +372,14 @@ def scorer_pandas(v):
     return scoring.predict(scored).drop("dataset", "subset")
 
 
+@query
+def scorer_batched(v):
+    """The same scores from a function of many items at once, of like length."""
+    together = lambda groups: [vowels_per_length(*group) for group in groups]
+    scored = scoring.attach_batch_scorer(candidates.hellaswag(v.hella()), together)
+    return scoring.predict(scored).drop("dataset", "subset")
+
+
 def _bigram_predictions(v: Views) -> DataFrame:
     return choice_eval.bigram_predictions(v.tasks(), v.documents())
 
@@ -390,20 +411,29 @@ def mc_accuracy_failed_left_out(v):
 def _staged_tasks(v: Views) -> str:
     """A folder of Arrow datasets as they are published: several configurations, splits and shards."""
     root = fresh_path(v.spark, "datasets")
+    _stage_arc(v, root)
+    stage_arrow_files(v.piqa().drop("example_id"), f"{root}/baber___piqa", "piqa-validation")
+    stage_arrow_files(v.mmlu().drop("example_id"), f"{root}/cais___mmlu", "mmlu-test", by="subject")
+    # some labels are unreadable
+    stage_arrow_files(v.hella_damaged().drop("example_id"), f"{root}/Rowan___hellaswag/default", "hellaswag-validation")
+    stage_arrow_files(v.csqa().drop("example_id"), f"{root}/tau___commonsense_qa/default", "csqa-validation", indexed=True)
+    stage_arrow_files(v.wino().drop("example_id"), f"{root}/winogrande/winogrande_xl", "wino-validation")
+    return root
+
+
+def _stage_arc(v: Views, root: str) -> None:
+    """Two configurations of which one counts, and two splits of which one does."""
     arc = v.arc().drop("example_id").withColumn("id", F.lit("own"))
     stage_arrow_files(arc, f"{root}/allenai___ai2_arc/ARC-Challenge", "arc-test", indexed=True)
     stage_arrow_files(arc.limit(7), f"{root}/allenai___ai2_arc/ARC-Challenge", "arc-train")
     stage_arrow_files(arc.limit(9), f"{root}/allenai___ai2_arc/ARC-Easy", "arc-test")
-    stage_arrow_files(v.piqa().drop("example_id"), f"{root}/baber___piqa", "piqa-validation")
-    for subject in SUBJECTS[:2]:
-        rows = v.mmlu().where(F.col("subject") == subject).drop("example_id", "subject")
-        stage_arrow_files(rows, f"{root}/cais___mmlu/{subject}", "mmlu-test")
-    return root
 
 
 @query
 def load_task_arrow(v):
-    loaded = candidates.arc(cache.load_tasks(v.spark, _staged_tasks(v))["ARC"])
+    root = fresh_path(v.spark, "datasets")
+    _stage_arc(v, root)
+    loaded = candidates.arc(cache.load_tasks(v.spark, root)["ARC"])
     return candidates.one_per_row(loaded).select("label", "context", "cand", "candidate")
 
 
@@ -420,10 +450,34 @@ def load_answers(v):
 
 @query
 def evaluate_choices_job(v):
-    """The whole job over staged folders, read back from its summary."""
+    """The whole job over staged folders: its summary read back, and what it left out."""
     summary = fresh_path(v.spark, "summary")
-    jobs.evaluate_choices(v.spark, _staged_tasks(v), vowels_per_length, results.MODELS[0], summary)
-    return sinks.read_summaries(v.spark, summary).select("dataset", "value")
+    bad = jobs.evaluate_choices(v.spark, _staged_tasks(v), vowels_per_length, results.MODELS[0], summary)
+    return _with_failures(sinks.read_summaries(v.spark, summary), bad)
+
+
+def _with_failures(summary: DataFrame, bad: DataFrame) -> DataFrame:
+    return summary.select("dataset", "value").unionByName(bad, allowMissingColumns=True)
+
+
+@query
+def damaged_dataset_reported(v):
+    """One dataset has a file cut short, another a scorer that fails on it; the third is evaluated."""
+    root, summary = fresh_path(v.spark, "datasets"), fresh_path(v.spark, "summary")
+    _stage_arc(v, root)
+    stage_arrow_files(v.piqa().drop("example_id"), f"{root}/baber___piqa", "piqa-validation", batch_rows=100)
+    damage_first_file(f"{root}/baber___piqa")
+    stage_arrow_files(v.mmlu().drop("example_id"), f"{root}/cais___mmlu", "mmlu-test", by="subject")
+
+    def scorer(context: str, texts: list[str]) -> list[float]:
+        if len(texts) > 4:  # a few items of a subject
+            raise RuntimeError("too many candidates")
+        return vowels_per_length(context, texts)
+
+    bad = jobs.evaluate_choices(v.spark, root, scorer, results.MODELS[0], summary)
+    kinds = bad.withColumn("reason", F.substring_index("reason", ":", 2))
+    kinds = kinds.withColumn("reason", F.when(F.col("dataset") == "PIQA", F.substring_index("reason", ":", 1)).otherwise(F.col("reason")))
+    return _with_failures(sinks.read_summaries(v.spark, summary), kinds)
 
 
 @query
@@ -489,6 +543,18 @@ def detail_round_trip(v):
     return readers.read_jsonl(v.spark, path, schema)
 
 
+@query
+def model_results_replaced(v):
+    """Results of two models are written again: one has fewer rows then, the other none."""
+    path = fresh_path(v.spark, "detail")
+    graded = _graded(v).select("example_id", "correct")
+    models = F.explode(F.array(*map(F.lit, results.MODELS[:3])))
+    sinks.write_detail(graded.withColumn("model", models), path)
+    again = graded.where("correct").withColumn("model", F.lit(results.MODELS[0]))
+    sinks.write_detail(again, path, results.MODELS[:2])
+    return sinks.read_detail(v.spark, path, "model string, example_id bigint, correct boolean")
+
+
 @query
 def latest_run(v):
     return runs.latest_run(v.run_entries())
@@ -549,6 +615,31 @@ def arrow_scan(v):
     return readers.read_columnar(v.spark, path, format="arrow_files")
 
 
+def _staged_orders(v: Views) -> str:
+    """Streams of many small batches."""
+    path = fresh_path(v.spark, "arrow")
+    orders = v.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    stage_arrow_files(orders.sort("o_orderkey"), path, batch_rows=500)
+    return path
+
+
+@query
+def arrow_stream_scan(v):
+    """Streams cut into ranges of bytes, each read by a task of its own."""
+    read = readers.read_columnar(v.spark, _staged_orders(v), format="arrow_files", split_bytes=str(1 << 14))
+    return read.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@query
+def arrow_index_scan(v):
+    """Streams read by an index of their batches, of which filters leave a few."""
+    path, index = _staged_orders(v), fresh_path(v.spark, "index")
+    index_arrow_files(v.spark, path, index, ["o_orderkey", "o_orderstatus"])
+    read = readers.read_columnar(v.spark, path, format="arrow_files", index=index)
+    highest = v.table("orders").agg(F.max("o_orderkey")).head()[0]
+    return read.where((F.col("o_orderkey") > highest // 2) & (F.col("o_orderkey") <= highest // 2 + 2000))
+
+
 @query
 def jsonl_round_trip(v):
     path = fresh_path(v.spark, "mixture")

@@ -55,6 +55,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
+def count_words(text: Column) -> Column:
+    """How many :func:`words` there are, without an array of them."""
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def last_word(text: Column) -> Column:
+    """The last of :func:`words`; null where there is none. Found from the end, so that one word is looked at."""
+    found = F.regexp_substr(F.reverse(text), F.lit(r"\S+"))
+    return F.reverse(found)
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word, as it stands; empty for 0 words."""
     pattern = F.concat(F.lit(r"^\s*+(?:\S++\s*+){"), n.cast("string"), F.lit("}+"))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions import batches as arrow
 from tablewright.functions.text import final_number, same_number
 from tablewright.operators.metrics import ratio
+from tablewright.session import fresh_path
 
 Generator = Callable[[list[str]], list[str]]
 
+# Prompts of a call, and bytes of their text.
+CALL_ROWS, CALL_BYTES = 256, 1 << 20
+
 
 def reasoning_prompt(question: Column) -> Column:
     return F.concat(F.lit("Question: "), question, F.lit("\nLet's think step by step.\nAnswer:"))
@@ -23,17 +29,85 @@ def attach_predictions(items: DataFrame, predictions: DataFrame, key: str) -> Da
     return items.join(predictions.select(key, "prediction"), key, "left")
 
 
-def attach_generator(items: DataFrame, key: str, generator: Generator) -> DataFrame:
-    """(key, question, answer, prediction) from a user function of a list of prompts."""
-    rows = items.select(key, "question", "answer", reasoning_prompt(F.col("question")).alias("_prompt"))
-    kind = rows.schema[key].dataType.simpleString()
+def _generate(rows: DataFrame, prompt: str, generator: Generator, call_rows: int, call_bytes: int) -> DataFrame:
+    """``rows`` with the ``prompt`` column replaced by a ``prediction``, in calls of bounded rows and bytes."""
+    kept = [c for c in rows.columns if c != prompt]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", prediction string"
+
+    def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.pieces(batches, call_rows, call_bytes):
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            prompts = columns[prompt].to_pylist()
+            texts = list(generator(prompts))
+            if len(texts) != len(prompts):
+                raise ValueError("the generator gave another number of texts than prompts")
+            made = [columns[c] for c in kept] + [pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(made, names=[*kept, "prediction"])
 
-    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = generator(list(batch["_prompt"]))
-            yield batch.drop(columns="_prompt").assign(prediction=list(texts))
+    return rows.mapInArrow(generate, schema)
 
-    return rows.mapInPandas(generate, f"{key} {kind}, question string, answer string, prediction string")
+
+def attach_generator(
+    items: DataFrame, key: str, generator: Generator, call_rows: int = CALL_ROWS, call_bytes: int = CALL_BYTES
+) -> DataFrame:
+    """(key, question, answer, prediction) from a user function of a list of prompts.
+
+    A call has at most ``call_rows`` prompts and ``call_bytes`` of text.
+    """
+    rows = items.select(key, "question", "answer", reasoning_prompt(F.col("question")).alias("_prompt"))
+    return _generate(rows, "_prompt", generator, call_rows, call_bytes)
+
+
+STORE_SCHEMA = "digest string, prediction string"
+
+
+def prompt_digest(name: str, prompt: Column) -> Column:
+    """What a text is kept under: the generator's name and the prompt; null without prompt."""
+    return F.sha2(F.concat(F.lit(f"{len(name)}:{name}:"), prompt), 256)
+
+
+def _held(spark: SparkSession, store: str) -> DataFrame:
+    """The texts of a store, one per digest also where two runs have written it at once."""
+    try:
+        rows = spark.read.schema(STORE_SCHEMA).parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORE_SCHEMA)
+    return rows.groupBy("digest").agg(F.min("prediction").alias("prediction"))
+
+
+def attach_stored_generator(
+    items: DataFrame,
+    key: str,
+    generator: Generator,
+    name: str,
+    store: str,
+    commit_rows: int = 50_000,
+    call_rows: int = CALL_ROWS,
+    call_bytes: int = CALL_BYTES,
+) -> DataFrame:
+    """As :func:`attach_generator`, with every text kept in the table at ``store``, so that it is generated once.
+
+    Prompts whose text is there under the generator's ``name`` are left out before work starts. The others are
+    generated in rounds of about ``commit_rows`` prompts, equal prompts once, and each round
+    is added to the table as a whole: a run that is broken off and repeated goes on after the
+    last whole round. An item without question has no prediction.
+    """
+    spark = items.sparkSession
+    prompt = reasoning_prompt(F.col("question"))
+    keyed = items.select(key, "question", "answer", prompt_digest(name, prompt).alias("digest"))
+    asked = items.select(prompt_digest(name, prompt).alias("digest"), prompt.alias("prompt")).where("digest is not null")
+    todo = asked.dropDuplicates(["digest"]).join(_held(spark, store), "digest", "left_anti")
+    path = fresh_path(spark, "prompts")  # the rounds are those of this list, whatever is added meanwhile
+    todo.write.parquet(path)
+    listed = spark.read.parquet(path)
+    rounds = -(-listed.count() // commit_rows)
+    tasks = spark.sparkContext.defaultParallelism
+    for number in range(rounds):
+        now = listed.where(F.pmod(F.xxhash64("digest"), F.lit(rounds)) == number).repartition(tasks)
+        _generate(now, "prompt", generator, call_rows, call_bytes).write.mode("append").parquet(store)
+    return keyed.join(_held(spark, store), "digest", "left").select(key, "question", "answer", "prediction")
 
 
 def grade(answered: DataFrame, key: str) -> DataFrame:

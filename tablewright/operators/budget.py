@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import SEED
-from tablewright.functions.text import first_words, last_words, words
+from tablewright.functions.text import count_words, first_words, last_words, words
 from tablewright.operators.ranking import with_position
 
 # Limits in tokens, and rows per device step and accumulation.
@@ -22,6 +22,10 @@ Tokens = Callable[[Column], Column]
 Cut = Callable[[Column, Column], Column]
 
 
+def _count(tokens: Tokens, text: Column) -> Column:
+    return count_words(text) if tokens is words else F.size(tokens(text))
+
+
 def limit_length(
     df: DataFrame, text: str = "text", limit: int = MAX_TOKENS, tokens: Tokens = words, first: Cut = first_words
 ) -> DataFrame:
@@ -31,7 +35,7 @@ def limit_length(
     """
     n = F.col("n_tokens")
     return (
-        df.withColumn("n_tokens", F.size(tokens(F.col(text))))
+        df.withColumn("n_tokens", _count(tokens, F.col(text)))
         .withColumn("n_cut", F.greatest(n - limit, F.lit(0)))
         .withColumn("kept", F.when(n > limit, first(F.col(text), F.lit(limit))).otherwise(F.col(text)))
     )
@@ -55,7 +59,7 @@ def limit_pair(
 
 
 def _pair_sizes(pairs: DataFrame, prompt_limit: int, limit: int, tokens: Tokens) -> DataFrame:
-    sizes = pairs.withColumns({f"n_{c}": F.size(tokens(F.col(c))) for c in ("prompt", "chosen", "rejected")})
+    sizes = pairs.withColumns({f"n_{c}": _count(tokens, F.col(c)) for c in ("prompt", "chosen", "rejected")})
     room = F.lit(limit) - F.col("kept_prompt")
     return sizes.withColumn("kept_prompt", F.least(F.col("n_prompt"), F.lit(prompt_limit))).withColumns(
         {
@@ -88,7 +92,7 @@ def length_report(
     df: DataFrame, by: str, text: str = "text", limit: int = MAX_TOKENS, tokens: Tokens = words
 ) -> DataFrame:
     """Rows, tokens and how many of each the limit cuts, per group."""
-    n = F.size(tokens(F.col(text))).cast("bigint")
+    n = _count(tokens, F.col(text)).cast("bigint")
     return (
         df.select(by, n.alias("_n"))
         .groupBy(by)

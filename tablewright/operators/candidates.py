@@ -4,6 +4,9 @@ Every task gives the same table: (dataset, subset, example_id, context,
 candidates ARRAY<STRING>, label INT), one row per item. It is a map-only
 projection of the task's own table. Items without a usable label are left out,
 so they count neither as right nor as wrong.
+
+A table whose source reports damage has a ``_damage`` column; its candidates then have a
+``problem`` column, and a row for each item that cannot be read.
 """
 
 from __future__ import annotations
@@ -15,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.operators.preference import label_index
+from tablewright.operators.preference import NOT_AN_INTEGER, label_index
 
 # Answer keys in label order.
 LETTERS = ["A", "B", "C", "D", "E"]
 DIGITS = ["1", "2", "3", "4"]
 BLANK = "_"
 
+DAMAGE, PROBLEM = "_damage", "problem"
+
 
 def _position(key: Column, values: list[str]) -> Column:
     """0-based position of ``key`` in ``values``; null if it is not there."""
@@ -38,7 +43,8 @@ def _spaced(texts: Column) -> Column:
 
 
 def _table(df: DataFrame, dataset: str, context: Column, candidates: Column, label: Column) -> DataFrame:
-    subset = F.col("subject") if "subject" in df.columns else F.lit("")
+    subset = F.coalesce("subject", F.lit("")) if "subject" in df.columns else F.lit("")
+    problem = [F.col(DAMAGE).alias(PROBLEM)] if DAMAGE in df.columns else []
     return df.select(
         F.lit(dataset).alias("dataset"),
         subset.alias("subset"),
@@ -46,12 +52,18 @@ def _table(df: DataFrame, dataset: str, context: Column, candidates: Column, lab
         context.alias("context"),
         candidates.alias("candidates"),
         label.cast("int").alias("label"),
+        *problem,
     )
 
 
+def _usable(table: DataFrame, condition: Column) -> DataFrame:
+    """Items that meet the condition, and those with a problem."""
+    return table.where(condition | F.col(PROBLEM).isNotNull() if PROBLEM in table.columns else condition)
+
+
 def _labelled(df: DataFrame, dataset: str, label: Column) -> DataFrame:
     table = _table(df, dataset, _question_context(F.col("question")), _spaced(F.col("choices.text")), label)
-    return table.where(F.col("label").isNotNull() & (F.col("label") < F.size("candidates")))
+    return _usable(table, F.col("label").isNotNull() & (F.col("label") < F.size("candidates")))
 
 
 def arc(df: DataFrame) -> DataFrame:
@@ -77,7 +89,11 @@ def mmlu(df: DataFrame) -> DataFrame:
 
 
 def hellaswag(df: DataFrame) -> DataFrame:
-    return _table(df, "HellaSwag", F.col("ctx"), _spaced(F.col("endings")), label_index(F.col("label")))
+    """A label that is no integer stops an evaluation; where problems are reported it is one."""
+    table = _table(df, "HellaSwag", F.col("ctx"), _spaced(F.col("endings")), label_index(F.col("label")))
+    if PROBLEM not in table.columns:
+        return table
+    return table.withColumn(PROBLEM, F.coalesce(PROBLEM, F.when(F.col("label").isNull(), F.lit(NOT_AN_INTEGER))))
 
 
 def winogrande(df: DataFrame) -> DataFrame:
@@ -86,7 +102,7 @@ def winogrande(df: DataFrame) -> DataFrame:
     suffix = F.coalesce(F.get(parts, 1), F.lit(""))
     candidates = F.array(F.concat("option1", suffix), F.concat("option2", suffix))
     label = _position(F.col("answer"), DIGITS[:2])
-    return _table(df, "Winogrande", F.get(parts, 0), candidates, label).where("label is not null")
+    return _usable(_table(df, "Winogrande", F.get(parts, 0), candidates, label), F.col("label").isNotNull())
 
 
 TASKS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -104,7 +120,7 @@ def all_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
     known = [TASKS[name](df) for name, df in tables.items() if name in TASKS]
     if not known:
         raise ValueError("no known task among the inputs")
-    return reduce(DataFrame.unionByName, known)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), known)
 
 
 def first_rows(df: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -5,7 +5,8 @@ together in parts of ``PART_TURNS`` turns and then the parts to one text, so tha
 only the text itself grows with the conversation.
 
 A conversation with a turn that has no role, or neither text nor tool calls, has no
-text. It is left out here and counted by :func:`bad_turns`.
+text. It is left out here and counted by :func:`bad_turns`, as are turns that belong to
+no conversation. Turns with the same number are in the order of their text.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ TOOLS_AFTER = (
 
 PART_TURNS = 1000
 
+NO_CONVERSATION = "turn has no conversation"
 NO_ROLE = "turn has no role"
 NO_TEXT = "turn has neither text nor tool calls"
 
@@ -65,23 +67,28 @@ def _has_calls(turns: DataFrame) -> Column:
 
 def _turn_problem(turns: DataFrame) -> Column:
     """Why a turn cannot be rendered; null if it can."""
-    return F.when(F.col("role").isNull(), NO_ROLE).when(
-        F.col("text").isNull() & ~F.coalesce(_has_calls(turns), F.lit(False)), NO_TEXT
+    return (
+        F.when(F.col("conv_id").isNull(), NO_CONVERSATION)
+        .when(F.col("role").isNull(), NO_ROLE)
+        .when(F.col("text").isNull() & ~F.coalesce(_has_calls(turns), F.lit(False)), NO_TEXT)
     )
 
 
 def bad_turns(turns: DataFrame) -> DataFrame:
-    """(reason, n_turns, n_conversations) of the turns for which conversations are left out."""
+    """(reason, n_turns, n_conversations) of the turns for which conversations are left out.
+
+    Turns without conversation count for none.
+    """
     found = turns.select("conv_id", _turn_problem(turns).alias("reason")).where("reason is not null")
     per_conversation = found.groupBy("reason", "conv_id").agg(F.count("*").alias("n"))
     return per_conversation.groupBy("reason").agg(
-        F.sum("n").alias("n_turns"), F.count("*").alias("n_conversations")
+        F.sum("n").alias("n_turns"), F.count("conv_id").alias("n_conversations")
     )
 
 
 def _prepared(turns: DataFrame, part_turns: int) -> DataFrame:
     """Turns with their part and whether they can be rendered; a turn of tool calls alone has an empty text."""
-    return turns.withColumns(
+    return turns.where("conv_id is not null").withColumns(
         {
             "part": F.expr(f"turn div {int(part_turns)}"),
             "_bad": _turn_problem(turns).isNotNull(),
@@ -90,9 +97,15 @@ def _prepared(turns: DataFrame, part_turns: int) -> DataFrame:
     )
 
 
-def _join_parts(pieces: DataFrame, closing: str) -> DataFrame:
-    """Pieces of (conv_id, part, turn, piece, _bad) in turn order as one text per conversation."""
-    parts = pieces.groupBy("conv_id", "part").agg(
+def _join_parts(pieces: DataFrame, closing: str, part_turns: int) -> DataFrame:
+    """Pieces of (conv_id, part, turn, piece, _bad) in turn order as one text per conversation.
+
+    A part that repeated turn numbers have made larger is put together in sections.
+    """
+    in_part = W.partitionBy("conv_id", "part").orderBy("turn", "piece")
+    pieces = pieces.withColumn("_row", F.row_number().over(in_part))
+    sections = pieces.withColumn("section", F.expr(f"(_row - 1) div {int(part_turns)}"))
+    parts = sections.groupBy("conv_id", "part", "section").agg(
         F.count("*").alias("n"),
         F.max("_bad").alias("_bad"),
         F.array_sort(F.collect_list(F.struct("turn", "piece"))).alias("_pieces"),
@@ -101,7 +114,7 @@ def _join_parts(pieces: DataFrame, closing: str) -> DataFrame:
     whole = parts.groupBy("conv_id").agg(
         F.sum("n").alias("n_turns"),
         F.max("_bad").alias("_bad"),
-        F.array_sort(F.collect_list(F.struct("part", text.alias("text")))).alias("_parts"),
+        F.array_sort(F.collect_list(F.struct("part", "section", text.alias("text")))).alias("_parts"),
     )
     joined = F.array_join(F.transform("_parts", lambda p: p["text"]), "")
     return whole.where(~F.col("_bad")).select(
@@ -115,7 +128,7 @@ def render_turns(
     """(conv_id, n_turns, text) of a (conv_id, turn, role, text) table."""
     piece = render_turn(F.col("role"), F.col("text")).alias("piece")
     pieces = _prepared(turns, part_turns).select("conv_id", "part", "turn", "_bad", piece)
-    return _join_parts(pieces, ASSISTANT_OPEN if generation_prompt else "")
+    return _join_parts(pieces, ASSISTANT_OPEN if generation_prompt else "", part_turns)
 
 
 def _with_neighbours(turns: DataFrame) -> DataFrame:
@@ -234,4 +247,4 @@ def render_template(
         head = F.when(leading & (F.size("tools") > 0), with_tools).otherwise(head)
     pieces = full.select("conv_id", "part", "turn", "_bad", F.concat(head, piece).alias("piece"))
     generation = ASSISTANT_OPEN + ("" if thinking else EMPTY_THINK) if generation_prompt else ""
-    return _join_parts(pieces, generation)
+    return _join_parts(pieces, generation, part_turns)

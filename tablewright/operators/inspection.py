@@ -18,20 +18,21 @@ def table_profile(df: DataFrame, name: str, *keys: str) -> DataFrame:
 
     The first key is found on the key columns alone; its row is then looked up
     with filters that reach the scan. Of rows with equal keys the least of all columns is taken.
+    A null key is met only where there is no other. The columns of an empty table have no example.
     """
     first = df
     for key in keys:
-        first = first.where(F.col(key) == first.agg(F.min(key)).scalar())
+        first = first.where(F.col(key).eqNullSafe(first.agg(F.min(key)).scalar()))
     first = first.orderBy(*(c for c in df.columns if _has_order(df, c))).limit(1)
     entries: list[Column] = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(c).alias("column_name"),
-            _as_text(df, c).alias("example"),
-        )
+        F.struct(F.lit(i).alias("ordinal"), _as_text(df, c).alias("example"))
         for i, c in enumerate(df.columns, start=1)
     ]
-    return first.select(F.lit(name).alias("table_name"), F.inline(F.array(*entries)))
+    named = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name")) for i, c in enumerate(df.columns, start=1)]
+    columns = df.sparkSession.range(1).select(F.inline(F.array(*named)))
+    return columns.join(first.select(F.inline(F.array(*entries))), "ordinal", "left").select(
+        F.lit(name).alias("table_name"), "ordinal", "column_name", "example"
+    )
 
 
 def _has_order(df: DataFrame, column: str) -> bool:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.formatting import POSITION_LABELS
-from tablewright.operators.preference import label_index
+from tablewright.operators.metrics import display_name
+from tablewright.operators.preference import NOT_AN_INTEGER, label_index
 
-NOT_AN_INTEGER = "label is not an integer"
 OUT_OF_RANGE = "label is out of range"
 NOTHING_TO_REJECT = "nothing to reject"
 NO_LETTER = "answer has no letter"
@@ -37,6 +38,19 @@ def positional_problem(choices: Column, answer: Column) -> Column:
     return F.when(answer.isNull() | (answer >= labels) | (answer < -labels), NO_LETTER)
 
 
+def failed_datasets(predictions: DataFrame) -> DataFrame:
+    """(dataset, reason, n_rows) of the predictions with a ``problem``, by display name."""
+    found = predictions.where("problem is not null")
+    name = display_name(F.col("dataset"), F.col("subset"))
+    return found.groupBy(name.alias("dataset"), F.col("problem").alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+def failed_tasks(spark: SparkSession, reasons: Mapping[str, str]) -> DataFrame:
+    """The same for tasks of which nothing could be read; they have no rows."""
+    rows = [(task, reason, 0) for task, reason in sorted(reasons.items())]
+    return spark.createDataFrame(rows, "dataset string, reason string, n_rows long")
+
+
 def bad_rows(checks: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     """(dataset, reason, n_rows) over (dataset, table, problem) checks."""
     found = [

@@ -3,7 +3,7 @@
 The digests from ``order_key`` are uniform, so a histogram over their first hex
 digits splits the rows into even buckets. It has at most 16**digits rows
 whatever the size of the data; that bound is what makes it safe to accumulate
-in one task.
+in one task. Positions come from ranges of rows that are written in order.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import SEED, order_key
+from tablewright.session import fresh_path
 
 BUCKET_DIGITS = 4
 
@@ -83,31 +84,60 @@ def sample_cap(
     return _first_in_order(df, keys, F.least(F.col("_total"), F.lit(cap)), seed, digits)
 
 
+# Rows of offsets, at most one per partition and group, that are sent to every task.
+SENT_OFFSETS = 200_000
+
+
 def with_position(
     df: DataFrame,
     keys: list[str],
     within: list[str] | None = None,
     seed: int | str = SEED,
-    digits: int = BUCKET_DIGITS,
     name: str = "position",
 ) -> DataFrame:
     """Add the 0-based position in the seeded order, per ``within`` group if given.
 
-    Each bucket is ranked on its own and shifted by the rows before it, so the
-    rows are shuffled once, evenly, and no task sees more than one bucket's share.
-    The join with the offsets runs on the same partitioning and order.
+    The rows are put in order once, in ranges of even size, and written to the shared
+    folder; the row counts of the ranges before it are then added to a row's place in
+    its own range. Rows with the same keys are alike: they are in the order of their
+    number in the input, so that many of them fill several ranges and not one task.
     """
     within = within or []
-    keyed = df.withColumn("_h", order_key(*within, *keys, seed=seed))
-    offsets = _offsets(keyed.select(*within, "_h"), within, digits).select(*within, "_b", "_before")
-    in_bucket = W.partitionBy(*within, "_b").orderBy("_h", *keys)
-    return (
-        keyed.withColumn("_b", _bucket(digits))
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .join(offsets, [*within, "_b"])
-        .withColumn(name, F.col("_before") + F.col("_rank") - 1)
-        .drop("_h", "_b", "_rank", "_before")
+    digest, number, part, place = (_unused(df, n) for n in ("_h", "_row", "_part", "_place"))
+    numbered = df.withColumns({digest: order_key(*within, *keys, seed=seed), number: F.monotonically_increasing_id()})
+    order = [*within, digest, *keys, number]
+    ranged = numbered.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the low 33 bits of an id are the row's place in its partition
+    placed = ranged.select(
+        *df.columns,
+        F.spark_partition_id().alias(part),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(place),
     )
+    path = fresh_path(df.sparkSession, "positions")
+    placed.write.parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path)
+    return _shifted(rows, within, part, place, name).select(*df.columns, name)
+
+
+def _shifted(rows: DataFrame, within: list[str], part: str, place: str, name: str) -> DataFrame:
+    """Places within ranges as positions within groups."""
+    counts = rows.groupBy(*within, part).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    # Without ``within`` this is one task over a row per range, not the data.
+    before = W.partitionBy(*within).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    marks = [_unused(rows, f"_w{i}") for i in range(len(within))]
+    offsets = counts.select(*(F.col(w).alias(m) for w, m in zip(within, marks)), F.col(part).alias("_of"), shift.alias("_shift"))
+    few = not within or offsets.limit(SENT_OFFSETS + 1).count() <= SENT_OFFSETS
+    same = F.col(part) == F.col("_of")
+    for w, m in zip(within, marks):
+        same = same & F.col(w).eqNullSafe(F.col(m))
+    return rows.join(F.broadcast(offsets) if few else offsets, same).withColumn(name, F.col(place) + F.col("_shift"))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int | str = SEED) -> DataFrame:

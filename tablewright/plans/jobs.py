@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import answers, budget, candidates, metrics, preference, quarantine, scoring
 from tablewright.plans import choice_eval, training_mixture
+from tablewright.session import fresh_path
 from tablewright.sources import cache, readers, sinks
 
 ANSWER_TASK = "GSM8K"
@@ -41,23 +42,48 @@ def prepare_pairs(spark: SparkSession, root: str, output: str) -> DataFrame:
 
 
 def evaluate_choices(
-    spark: SparkSession, root: str, scorer: scoring.Scorer, model: str, output: str, debug: bool = False
-) -> None:
-    """Score every task found with ``scorer`` and write the model's summary.
-
-    Every item is scored once. A dataset with unreadable labels is left out.
+    spark: SparkSession,
+    root: str,
+    scorer: scoring.Scorer | None,
+    model: str,
+    output: str,
+    debug: bool = False,
+    batch_scorer: scoring.BatchScorer | None = None,
+    index: str | None = None,
+) -> DataFrame:
+    """Score every task found and write the model's summary; the result counts what was left out.
+
+    Every item is scored once, by ``scorer`` on its own or by ``batch_scorer`` with others. A dataset, or subject
+    of one, is left out where a file or batch of it cannot be read, a label is unreadable or the scorer
+    raises an error; the others are not held up. The result has (dataset, reason, n_rows).
     ``debug`` takes the first rows of each task only, or of each of its subjects.
     """
-    tables = cache.load_tasks(spark, root)
+    tables, failed = cache.load_tasks_reporting(spark, root, index)
     if debug:
-        tables = {task: candidates.first_rows(df, cache.KEY) for task, df in tables.items()}
-    predictions = scoring.predict(scoring.attach_scorer(candidates.all_candidates(tables), scorer))
-    summary = choice_eval.whole_summary(predictions, tables)
-    if "HellaSwag" in tables:
-        problem = quarantine.unreadable_label(F.col("label"))
-        bad = quarantine.bad_rows([("HellaSwag", tables["HellaSwag"], problem)])
-        summary = metrics.leave_out_failed(summary, bad)
-    sinks.write_summary(sinks.choice_summary(summary.withColumn("model", F.lit(model))), output)
+        tables = {task: _first_rows(df) for task, df in tables.items()}
+    bad = quarantine.failed_tasks(spark, failed)
+    summary = spark.createDataFrame([], "dataset string, accuracy double")
+    if tables:
+        items = candidates.all_candidates(tables)
+        scored = scoring.attach_batch_scorer(items, batch_scorer) if batch_scorer else scoring.attach_scorer(items, scorer)
+        # scored once for the summary and the report; a lost executor costs no scores
+        path = fresh_path(spark, "predictions")
+        scoring.predict(scored).write.parquet(path)
+        predictions = spark.read.parquet(path)
+        if candidates.PROBLEM in predictions.columns:
+            bad = quarantine.failed_datasets(predictions).unionByName(bad)
+            predictions = predictions.where("problem is null").drop("problem")
+        summary = metrics.leave_out_failed(choice_eval.whole_summary(predictions, tables), bad)
+    sinks.write_summary(sinks.choice_summary(summary.withColumn("model", F.lit(model))), output, [model])
+    return bad
+
+
+def _first_rows(table: DataFrame) -> DataFrame:
+    """The first readable rows, and a row for all that cannot be read."""
+    if candidates.DAMAGE not in table.columns:
+        return candidates.first_rows(table, cache.KEY)
+    damaged = F.col(candidates.DAMAGE).isNotNull()
+    return candidates.first_rows(table.where(~damaged), cache.KEY).unionByName(table.where(damaged))
 
 
 def evaluate_answers(
@@ -68,16 +94,22 @@ def evaluate_answers(
     detail_output: str,
     summary_output: str,
     debug: bool = False,
+    store: str | None = None,
 ) -> None:
     """Generate and grade an answer per question; write the details and the summary.
 
-    The summary is read from the written details, so every text is generated once.
+    The summary is read from the written details, so every text is generated once. With ``store`` the
+    texts are kept there, and a repeated run generates only those that are missing.
     """
     items = cache.load_answers(spark, root)
     if debug:
         items = candidates.first_rows(items, "example_id")
-    detail = answers.grade(answers.attach_generator(items, "example_id", generator), "example_id")
-    sinks.write_detail(detail.drop("example_id").withColumn("model", F.lit(model)), detail_output)
-    written = readers.read_jsonl(spark, detail_output, "correct boolean, model string").where(F.col("model") == model)
+    if store:
+        answered = answers.attach_stored_generator(items, "example_id", generator, model, store)
+    else:
+        answered = answers.attach_generator(items, "example_id", generator)
+    detail = answers.grade(answered, "example_id").drop("example_id").withColumn("model", F.lit(model))
+    sinks.write_detail(detail, detail_output, [model])
+    written = sinks.read_detail(spark, detail_output, "correct boolean, model string", [model])
     summary = answers.answer_accuracy(written, ANSWER_TASK).withColumn("model", F.lit(model))
-    sinks.write_summary(sinks.metric_summary(summary), summary_output)
+    sinks.write_summary(sinks.metric_summary(summary), summary_output, [model])

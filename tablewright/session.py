@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Long texts go to Python workers in small batches.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Filters reach the Arrow file source, which skips files and batches by them.
+    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.mixing import TRAINING_SUBJECTS
 from tablewright.sources import files, readers
+from tablewright.sources.arrow_files import DAMAGE
 
 # Folder of each evaluated task, and of the worked answers.
 TASK_FOLDERS = {
@@ -40,21 +43,50 @@ EXTENSIONS = [".arrow", ".parquet"]
 KEY, SOURCE_KEYS = "example_id", ["example_id", "id"]
 
 
-def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+def _read(
+    spark: SparkSession, root: str, folder: str, paths: list[str], by_subset: bool, report: bool, index: str | None
+) -> DataFrame:
     """The files as one table with a key: the path below ``root`` and the row's place in the file.
 
-    Places are written with leading zeros, so the key's order is that of the rows.
+    Places are written with leading zeros, so the key's order is that of the rows. With ``by_subset`` the
+    folder below the dataset's is the ``subject``; filters on it reach the list of Arrow files. With ``report``
+    what cannot be read is a row with the reason in ``_damage``.
     """
     parts = []
+    below_dataset = F.substring_index("_file", f"/{folder}/", -1)
+    subject = F.when(below_dataset.contains("/"), F.substring_index(below_dataset, "/", 1)).otherwise(F.lit(""))
+    if report and any(p.endswith(".parquet") for p in paths):
+        # as many rows as damaged files
+        damaged = readers.damaged_parquet(spark, [p for p in paths if p.endswith(".parquet")]).collect()
+        paths = sorted(set(paths) - {r["path"] for r in damaged})
+        if damaged:
+            rows = spark.createDataFrame([tuple(r) for r in damaged], f"_file string, {DAMAGE} string")
+            named = {KEY: F.substring_index("_file", "/", -1), **({"subject": subject} if by_subset else {})}
+            parts.append(rows.withColumns(named).drop("_file"))
+            if not paths:
+                raise ValueError(f"{damaged[0]['path']}: {damaged[0]['reason']}")
     for extension in EXTENSIONS:
         chosen = [p for p in paths if p.endswith(extension)]
         if not chosen:
             continue
         if extension == ".parquet":
-            table = spark.read.parquet(*chosen)
-            file, places = F.col("_metadata.file_path"), [F.col("_metadata.row_index")]
+            table = spark.read.parquet(*chosen).select(
+                "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+            )
+            file, places = F.col("_file"), [F.col("_row")]
+            table = table.withColumn("subject", subject) if by_subset else table
+            table = table.withColumn(DAMAGE, F.lit(None).cast("string")) if report else table
         else:
-            table = readers.read_columnar(spark, *chosen, format="arrow_files", position=True)
+            table = readers.read_columnar(
+                spark,
+                *chosen,
+                format="arrow_files",
+                position=True,
+                index=index,
+                folder="subject" if by_subset else None,
+                root=f"{root.rstrip('/')}/{folder}",
+                damaged="report" if report else None,
+            )
             file, places = F.col("_file"), [F.col("_batch"), F.col("_row")]
         # file systems spell the slashes after their scheme in several ways
         base = re.sub(r"^\w+:/*", "/", root.rstrip("/"))
@@ -74,13 +106,16 @@ def load(
     match: str = "contains",
     otherwise: str = "any",
     by_subset: bool = False,
+    report: bool = False,
+    index: str | None = None,
 ) -> DataFrame | None:
     """All shards of the chosen split of a dataset, or None if there is none.
 
     A dataset gives one split of one subset, those of the smallest path among the
     best splits. With ``subsets`` or ``by_subset`` every subset gives a split of its
     own; ``by_subset`` also adds the subset as ``subject``. Only paths come to the
-    driver, as many as the dataset has files.
+    driver, as many as the dataset has files. With ``report`` unreadable files and batches are
+    rows with a reason in ``_damage``; ``index`` is the folder of an index of Arrow files.
     """
     listed = files.list_dataset(spark, root, folder, EXTENSIONS)
     if listed is None:
@@ -96,10 +131,7 @@ def load(
     paths = sorted(r["path"] for r in shards.select("path").collect())
     if not paths:
         return None
-    table = _read(spark, root, paths)
-    if by_subset:
-        table = table.withColumn("subject", F.get(F.split(KEY, "/"), 1))
-    return table
+    return _read(spark, root, folder, paths, by_subset, report, index)
 
 
 def load_tasks(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -110,6 +142,30 @@ def load_tasks(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {task: table for task, table in loaded.items() if table is not None}
 
 
+def load_tasks_reporting(
+    spark: SparkSession, root: str, index: str | None = None
+) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """As :func:`load_tasks`, with rows for what cannot be read, and the reason for each task of which nothing can."""
+    tables: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for task, folder in TASK_FOLDERS.items():
+        try:
+            table = load(spark, root, folder, by_subset=task == "MMLU", report=True, index=index)
+        except (PySparkException, Py4JJavaError, OSError, ValueError) as error:
+            failed[task] = first_line(error)
+            continue
+        if table is not None:
+            tables[task] = table
+    return tables, failed
+
+
+def first_line(error: Exception) -> str:
+    """A reason to show for an error; of one raised in the Arrow source the last line of its traceback."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+    own = [line for line in lines if re.match(r"[A-Za-z]+(Error|File): ", line)]
+    return (own or lines or [type(error).__name__])[-1 if own else 0]
+
+
 def load_training_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Every training source found below ``root``, with an ``id``."""
     loaded = {

@@ -14,22 +14,51 @@ MIXTURE_SCHEMA = "messages array<struct<role string, content string>>"
 PAIR_SCHEMA = "prompt string, chosen string, rejected string"
 
 
-def read_columnar(spark: SparkSession, *paths: str, format: str = "parquet", position: bool = False) -> DataFrame:
+def read_columnar(
+    spark: SparkSession, *paths: str, format: str = "parquet", position: bool = False, **options: str | None
+) -> DataFrame:
     """Columnar files under the file schema; ``format="arrow_files"`` reads Arrow files.
 
-    With ``position`` Arrow rows have their file, batch and row in the batch.
+    With ``position`` Arrow rows have their file, batch and row in the batch. ``options`` are those of the Arrow
+    source: ``index``, ``folder`` with ``root``, ``damaged``. Its files and batches are skipped by filters
+    where the session has ``spark.sql.python.filterPushdown.enabled``, as those of this package have.
     """
     if format == "parquet":
         return spark.read.parquet(*paths)
     if format == "arrow_files":
-        from tablewright.sources.arrow_files import ArrowFiles
+        from tablewright.sources.arrow_files import PUSHDOWN, ArrowFiles
 
         spark.dataSource.register(ArrowFiles)
         reader = spark.read.format("arrow_files").option("paths", json.dumps(paths))
-        return (reader.option("position", "true") if position else reader).load()
+        chosen = {"position": "true" if position else None, "pushdown": spark.conf.get(PUSHDOWN, "false"), **options}
+        return reader.options(**{k: v for k, v in chosen.items() if v is not None}).load()
     raise ValueError(f"unknown format {format}")
 
 
+def damaged_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, reason) of the parquet files whose footer cannot be read; they are opened in tasks."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tablewright.sources.arrow_files import locate
+
+    def opened(batches):
+        for batch in batches:
+            found = {"path": [], "reason": []}
+            for path in batch.column(0).to_pylist():
+                try:
+                    system, inner = locate(path)
+                    with system.open_input_file(inner) as source:
+                        pq.ParquetFile(source)
+                except (pa.ArrowException, OSError, ValueError) as error:
+                    found["path"].append(path)
+                    found["reason"].append(f"{type(error).__name__}: {error}".splitlines()[0])
+            yield pa.RecordBatch.from_pydict(found, schema=pa.schema([("path", pa.string()), ("reason", pa.string())]))
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return listed.mapInArrow(opened, "path string, reason string")
+
+
 def read_split(spark: SparkSession, root: str, split: str, extension: str = ".parquet") -> DataFrame:
     """All files below ``root`` whose name ends in ``split`` and the extension."""
     return (

@@ -170,7 +170,7 @@ def test_items_are_scored_once(spark, arrow_root, tmp_path):
     jobs.evaluate_choices(spark, str(arrow_root), scorer, "baseline", str(tmp_path / "s"))
     assert calls.value == n_items
     summary = choice_eval.whole_summary(scoring.predict(scoring.attach_scorer(candidates.all_candidates(tables), scorer)), tables)
-    assert summary._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert summary._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
 def test_debug_takes_the_first_rows_of_every_subject(spark, arrow_root):
@@ -223,7 +223,9 @@ def test_arrow_files_are_split_by_batches(spark, arrow_root):
 
     spark.dataSource.register(ArrowFiles)
     read = spark.read.format("arrow_files").option("split_bytes", "1000").load(name)
-    assert read.rdd.getNumPartitions() == 5 and read.count() == 30
+    # ranges of bytes, found without opening the file; five of them hold a batch
+    assert read.rdd.getNumPartitions() >= 5 and read.count() == 30
+    assert sum(1 for p in read.rdd.glom().collect() if p) == 5
     stream = name.replace("00000-of", "00001-of")
     assert readers.read_columnar(spark, name, stream, format="arrow_files").count() == 42
 

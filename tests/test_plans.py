@@ -14,9 +14,10 @@ MAP_ONLY = [
 ACTIONS = {  # these write before they return a plan
     "summary_read", "leaderboard", "detail_round_trip", "jsonl_round_trip",
     "pairs_round_trip", "write_once", "arrow_scan", "load_task_arrow", "load_answers", "evaluate_choices_job",
-    "training_rows",
+    "training_rows", "damaged_dataset_reported", "model_results_replaced", "arrow_stream_scan", "arrow_index_scan",
+    "generator_resumed",
 }
-PYTHON = {"generator_pandas", "scorer_pandas", "mc_accuracy_failed_left_out", "summary_text"}
+PYTHON = {"generator_pandas", "scorer_pandas", "scorer_batched", "mc_accuracy_failed_left_out", "summary_text"}
 
 
 def plan(df):

@@ -28,7 +28,7 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
     assert sample == set(sorted(range(500), key=digest)[:150])
     capped = {r.id for r in ranking.sample_cap(df, ["id"], 20).collect()}
     assert capped == set(sorted(range(500), key=digest)[:20])
-    positions = {r.id: r.position for r in ranking.with_position(df, ["id"], digits=2).collect()}
+    positions = {r.id: r.position for r in ranking.with_position(df, ["id"]).collect()}
     assert positions == {i: p for p, i in enumerate(sorted(range(500), key=digest))}
 
 
