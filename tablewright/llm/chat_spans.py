@@ -4,7 +4,8 @@ The template is a function from turns to one text and nothing else is known of
 it. Successive prefixes of a conversation are rendered; where an output begins
 with the one before, the rest is the new turn's span, else the template has
 rewritten history. Two renderings with different single characters in place of
-the text show where the text lies within the span.
+the text show where the text lies within the span. A span counts in the outputs from its own
+turn on until one that rewrites it; ``holds_to`` names the last such turn.
 
 Every turn is rendered with all turns before it, as a template may depend on the
 first turn or on their number. A task streams conversations in turn order and holds
@@ -28,7 +29,7 @@ Template = Callable[[Sequence[Turn]], str]
 
 SPANS = (
     "conv_id long, position long, role string, start long, end long, text_start long, text_end long, "
-    "piece string, rewrites_history boolean"
+    "piece string, rewrites_history boolean, holds_to long"
 )
 DIGESTS = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -89,12 +90,19 @@ def _spans(template: Template, window: int | None):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started, current = False, None
         history: list[Turn] = []
+        held: list[list] = []  # rows of the current conversation; the last field is set where a rewrite ends them
+        position = 0
+
+        def ended() -> list[tuple]:
+            return [(*row[:-1], position - 1 if row[-1] is None else row[-1]) for row in held]
+
         for batch in batches:
             rows = []
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if not started or conv != current:
+                    rows += ended()
                     started, current = True, conv
-                    history, output, length, position = [], template([]), 0, 0
+                    history, output, length, position, held = [], template([]), 0, 0, []
                     length = len(output)
                 elif len(history) == window:
                     history = history[window // 2 :]
@@ -103,10 +111,15 @@ def _spans(template: Template, window: int | None):
                 output, piece, a, b, rewritten = span_of_next(history, output, (role, text), template)
                 start = length - (was - (len(output) - len(piece)))
                 length = start + len(piece)
-                rows.append((conv, position, role, start, length, start + a, start + b, piece, rewritten))
+                if rewritten:
+                    for row in held:
+                        if row[-1] is None and row[4] > start:  # it reaches beyond what the outputs share
+                            row[-1] = position - 1
+                held.append([conv, position, role, start, length, start + a, start + b, piece, rewritten, None])
                 history.append((role, text))
                 position += 1
             yield record_batch(schema, rows)
+        yield record_batch(schema, ended())
 
     return spans
 
@@ -114,6 +127,9 @@ def _spans(template: Template, window: int | None):
 def formatted_turns(conversations: DataFrame, template: Template = marked_turns, window: int | None = None) -> DataFrame:
     """One row per turn, in order: its place in the formatted text, and the piece of it that the turn made.
 
+    ``holds_to`` is the position of the last turn in whose output, with all turns before it, the piece stands at that
+    place; it is the conversation's last turn unless a later one rewrites history.
+
     Turns are ordered by ``turn``, nulls first, then role and text; repeated turns
     all stay. Null roles and texts are empty, and rows without conv_id are one
     conversation. An empty table gives an empty result. Partitions are in

@@ -1,11 +1,14 @@
 """Personal data by patterns and by bootstrapped context.
 
 Addresses, IP numbers, card numbers and phone numbers are found by their form and
-are the seeds. A label is a word with a colon, equals sign or number sign, such as
-``phone:``; what follows it is its instance. Labels and instances form a graph. In
-every round a label is trusted by the share of its instances that are known, and an
-instance becomes known through the labels it is trusted with. What trusted labels
-introduce and looks like an identifier is personal data too, whatever its form.
+are the seeds. Every place where something like an identifier stands, a seed or not, is a
+mention, and the words around it are its patterns: the one, two or three words before it, the
+two after it, and the word on each side, with the signs between them, so that ``phone: ``,
+``call me at `` and ``"phone": "`` are patterns alike. Patterns and the instances they occur
+with form a graph. In every round a pattern is trusted by the share of its instances that are
+known, over all documents, and an instance becomes known through the most trusted pattern it
+occurs with, so that patterns that never meet a seed can be learned too. What a
+trusted pattern stands around is personal data, whatever its form.
 
 Only DataFrame functions touch the rows.
 """
@@ -29,16 +32,24 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = ["email", "ip", "card", "phone"]
 CONTEXT = "context"
 
-# The last word of a label with its sign, and the instance after it.
-LABELLED = r"""([\p{L}][\p{L}_.-]{0,30})\x20?[:=#]{1,2}\x20?["'(]?([^\s"'(),;:=#]+)"""
+# Something like an identifier: a run of letters, digits and joining signs, or of groups of digits
+# with single blanks between them, in which four digits stand close together.
+_DIGITS_NEAR = r"(?=[^\s0-9]{0,30}+[0-9](?:[^0-9\n]{0,3}+[0-9]){3})"
+IDENTIFIER = (
+    r"(?<![\p{L}\p{N}+(._/-])" + _DIGITS_NEAR + r"[\p{L}\p{N}+(](?:[\p{L}\p{N}()._/+-]|(?<=[0-9)])\x20(?=[0-9(]))*+"
+)
+MENTION = f"(?:{EMAIL}|{IDENTIFIER})"
+# Characters looked at on each side of a mention for the words next to it.
+BEFORE, AFTER = 80, 60
+WORDS_BEFORE, WORDS_AFTER = 3, 2
 
 ROUNDS = 3
-SEEDS_ASKED = 3  # known instances that a label must have
-TRUSTED = 0.5  # share of known instances of a trusted label
+SEEDS_ASKED = 3  # known instances that a pattern must have
+TRUSTED = 0.7  # share of known instances of a trusted pattern
 KNOWN_AT = 0.5
 DIGITS_ASKED = 4  # digits of an unseen identifier
 
-_MENTION = "array<struct<start:int,end:int,label:string,instance:string,seed:boolean>>"
+_MENTION = "array<struct<start:int,end:int,instance:string,seed:boolean,contexts:array<string>>>"
 
 
 def _luhn(match: Column) -> Column:
@@ -66,75 +77,108 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def contexts(before: Column, after: Column) -> Column:
+    """The contexts of a mention from the text on each side; blanks are made one, digits 0, letters small."""
+
+    def plain(text: Column) -> Column:
+        return F.lower(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[0-9]+", "0"))
+
+    left, right = plain(before), plain(after)
+    word = r"[\p{L}\p{N}_]++[^\p{L}\p{N}_]*+"
+    lefts = [F.regexp_extract(left, f"(?<![\\p{{L}}\\p{{N}}_])((?:{word}){{{n}}})$", 1) for n in range(1, WORDS_BEFORE + 1)]
+    one, more = (
+        F.regexp_extract(right, f"^((?:[^\\p{{L}}\\p{{N}}_]*+[\\p{{L}}\\p{{N}}_]++){{{n}}})", 1) for n in (1, WORDS_AFTER)
+    )
+    made = [F.when(c != "", F.concat(c, F.lit("\t"))) for c in lefts]
+    # a single word after it says little by itself
+    made.append(F.when(more != "", F.concat(F.lit("\t"), more)))
+    made.append(F.when((lefts[0] != "") & (one != ""), F.concat(lefts[0], F.lit("\t"), one)))
+    return F.array_compact(F.array(*made))
+
+
 def _mentions(text: Column, base: Column) -> Column:
-    """Labels with their instances; where one overlaps a span of a known form, that span's text is the instance.
+    """Everything like an identifier with its contexts, and whether a span of a known form overlaps it."""
+    found = matches(text, MENTION)
+    between = F.split(text, MENTION, -1)
+    sides = F.transform(
+        found,
+        lambda m, i: F.struct(
+            F.right(F.get(between, i), F.lit(BEFORE)).alias("before"), F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after")
+        ),
+    )
 
-    The instance is the end of the match, so its place follows from its length.
-    """
-    found = matches(text, LABELLED, 2)
-    labels = F.regexp_extract_all(text, F.lit(LABELLED), F.lit(1))
-
-    def mention(m: Column, label: Column) -> Column:
-        instance = F.regexp_replace(m["value"], r"[.!?]+$", "")
-        start = m["end"] - F.char_length(m["value"])
-        end = start + F.char_length(instance)
-        seed = F.get(F.filter(base, lambda s: (s["start"] < end) & (s["end"] > start)), 0)
-        known = F.substring(text, seed["start"] + 1, seed["end"] - seed["start"])
+    def mention(m: Column, side: Column) -> Column:
+        instance = F.regexp_replace(m["value"], r"[^\p{L}\p{N}]+$", "")
+        end = m["start"] + F.char_length(instance)
         return F.struct(
-            start.alias("start"),
+            m["start"].alias("start"),
             end.alias("end"),
-            F.lower(label).alias("label"),
-            F.coalesce(known, instance).alias("instance"),
-            seed.isNotNull().alias("seed"),
+            F.lower(instance).alias("instance"),
+            F.exists(base, lambda s: (s["start"] < end) & (s["end"] > m["start"])).alias("seed"),
+            contexts(side["before"], F.concat(F.substring(m["value"], F.char_length(instance) + 1, F.lit(AFTER)), side["after"])).alias("contexts"),
         )
 
-    made = F.zip_with(found, labels, mention).cast(_MENTION)
-    return F.when(text.rlike(r"\p{L}\x20?[:=#]"), made).otherwise(F.array().cast(_MENTION))
+    made = F.zip_with(found, sides, mention).cast(_MENTION)
+    return F.when(text.rlike(r"[0-9@]"), made).otherwise(F.array().cast(_MENTION))
 
 
-def trusted_labels(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(label, trust) of the labels trusted after ``rounds``; ``edges`` are distinct (label, instance, seed)."""
+def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, trust) of the patterns trusted after ``rounds``; ``edges`` are distinct (pattern, instance, seed).
+
+    A pattern's trust is the mean of what is known of its instances: 1 of a seed, else the trust of
+    the most trusted pattern it occurs with, 0 without one. A pattern is trusted from ``TRUSTED`` on
+    if at least ``SEEDS_ASKED`` instances are known. Equal trust needs no order.
+    """
     known = edges.where("seed").select("instance", F.lit(1.0).alias("known")).distinct()
-    labels = None
+    patterns = None
     for _ in range(rounds):
         met = edges.join(known, "instance", "left")
-        scored = met.groupBy("label").agg(
+        scored = met.groupBy("pattern").agg(
             F.count("*").alias("n"),
             F.sum(F.coalesce("known", F.lit(0.0))).alias("mass"),
-            F.sum(F.when(F.col("known") >= KNOWN_AT, 1).otherwise(0)).alias("n_known"),
+            F.count_if(F.col("known") >= KNOWN_AT).alias("n_known"),
         )
         trust = F.col("mass") / F.col("n")
-        labels = scored.where((F.col("n_known") >= SEEDS_ASKED) & (trust >= TRUSTED)).select("label", trust.alias("trust"))
-        labels = stored(labels, "trusted-labels")
-        # an instance is unknown only if all its trusted labels err
-        doubt = F.log(F.lit(1.0001) - F.col("trust"))
-        found = edges.join(labels, "label").groupBy("instance").agg(
-            F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(doubt))).alias("known")
+        patterns = scored.where((F.col("n_known") >= SEEDS_ASKED) & (trust >= TRUSTED)).select("pattern", trust.alias("trust"))
+        patterns = stored(patterns, "trusted-patterns")
+        found = edges.join(patterns, "pattern").groupBy("instance").agg(
+            F.greatest(F.max(F.col("seed").cast("double")), F.max("trust")).alias("known")
         )
         seeds = edges.where("seed").select("instance", F.lit(1.0).alias("known"))
         known = stored(seeds.unionByName(found).groupBy("instance").agg(F.max("known").alias("known")), "known-instances")
-    return labels
+    return patterns
+
+
+def context_graph(mentions: DataFrame) -> DataFrame:
+    """Distinct (pattern, instance, seed) of the mentions' contexts; ``mentions`` has one row each.
+
+    Contexts are collapsed before they travel. Those with too few instances can never be trusted and go at once.
+    """
+    edges = mentions.select(F.explode("contexts").alias("pattern"), "instance", "seed")
+    edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS_ASKED)
+    return edges.join(enough.select("pattern"), "pattern", "left_semi")
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_<kind> of the four forms, base_sha256, spans), one row per row of ``docs``.
 
-    Spans of kind ``context`` are identifiers found by their labels; they come after
+    Spans of kind ``context`` are identifiers found by the words around them; they come after
     the four forms. Places are code points of the whole text. A null text counts as
     empty and has no span; repeated rows give repeated results; an empty table
     gives an empty one.
     """
     text = full_text(docs["text"])
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("hash"), text.alias("text"))
     scanned = rows.withColumn("spans", base_spans(F.col("text")))
     scanned = stored(
         scanned.select("doc_id", "hash", "spans", _mentions(F.col("text"), F.col("spans")).alias("mentions")), "pii-scan"
     )
     mentions = scanned.where(F.size("mentions") > 0).select("doc_id", "hash", F.explode("mentions").alias("m"))
     mentions = mentions.select("doc_id", "hash", "m.*")
-    edges = stored(mentions.groupBy("label", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
-    labels = trusted_labels(edges, rounds)
-    unseen = mentions.where(~F.col("seed") & (_digits(F.col("instance")) >= DIGITS_ASKED)).join(labels, "label")
+    patterns = trusted_patterns(stored(context_graph(mentions), "pii-graph"), rounds)
+    unseen = mentions.where(~F.col("seed") & (_digits(F.col("instance")) >= DIGITS_ASKED))
+    unseen = unseen.withColumn("pattern", F.explode("contexts")).join(patterns, "pattern", "left_semi")
     span = F.struct("start", F.lit(len(KINDS)).alias("place"), "end", F.lit(CONTEXT).alias("kind"))
     # mentions of one row, so no longer than its text
     found = unseen.groupBy("doc_id", "hash").agg(F.collect_set(span).cast(SPANS).alias("found"))

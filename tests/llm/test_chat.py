@@ -84,3 +84,36 @@ def test_odd_turns(spark):
     digests = chat_spans.conversation_digests(formatted_turns(frame(spark, rows))).collect()
     assert sorted((r["n_turns"], r["loss_chars"]) for r in digests) == [(1, 0), (4, 1)]
     assert formatted_turns(frame(spark, rows[:0])).collect() == []
+
+
+def shortened(turns):
+    """Older assistant turns are cut to their first character."""
+    last = max((i for i, (role, _) in enumerate(turns) if role == "assistant"), default=-1)
+    return "".join(f"<{role[0]}>{text if role == 'user' or i == last else text[:1]}\n" for i, (role, text) in enumerate(turns))
+
+
+def blotted(turns):
+    return "".join("gone\n" if i == 0 and len(turns) >= 4 else f"{text}\n" for i, (_, text) in enumerate(turns))
+
+
+def summed(turns):
+    return f"{len(turns)} turns:" + "".join(text for _, text in turns)
+
+
+@pytest.mark.parametrize("template", [marked_turns, shortened, blotted, summed])
+def test_every_span_stands_in_the_outputs_it_holds_for(spark, template):
+    from pyspark import cloudpickle
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    turns = [("user", "abc"), ("assistant", "long answer"), ("user", "b"), ("assistant", "other answer"), ("user", "c"), ("assistant", "x")]
+    rows = [(c, i, *turn) for c, n in ((1, 6), (2, 3), (3, 1)) for i, turn in enumerate(turns[:n])]
+    made = formatted_turns(frame(spark, rows), template).collect()
+    assert len(made) == 10
+    for r in made:
+        n = {1: 6, 2: 3, 3: 1}[r["conv_id"]]
+        assert r["position"] <= r["holds_to"] < n
+        outputs = [template(turns[: k + 1]) for k in range(n)]
+        assert all(out[r["start"] : r["end"]] == r["piece"] for out in outputs[r["position"] : r["holds_to"] + 1])
+        # beyond it, a later turn has rewritten what stands there
+        assert r["holds_to"] == n - 1 or not outputs[r["holds_to"] + 1].startswith(outputs[r["holds_to"]][: r["end"]])

@@ -104,3 +104,81 @@ def test_labels_find_unseen_identifiers(documents):
 def test_a_label_without_seeds_is_not_trusted(documents):
     rows = pii_bootstrap.find_personal_data(documents([(i, f"order: 12345{i}") for i in range(20)])).collect()
     assert all(r["spans"] == "" for r in rows)
+
+
+def found_in(documents, texts):
+    rows = pii_bootstrap.find_personal_data(documents(list(enumerate(texts)))).collect()
+    return {r["doc_id"]: [texts[r["doc_id"]][int(a) : int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "context"] for r in rows}
+
+
+@pytest.mark.parametrize(
+    ("seed", "unseen", "identifier"),
+    [
+        ("My phone number is +1 602 555 01{:02d}.", "My phone number is 555-0177.", "555-0177"),
+        ("Please call me at +1 602 555 01{:02d} today", "Please call me at 555-0199 today", "555-0199"),
+        ('{{"phone": "+1 602 555 01{:02d}"}}', '{{"phone": "555-0142"}}', "555-0142"),
+        ("write to user{:02d}@mail.example or", "write to user 4711-0815 or", None),
+        ("reach us on +1 602 555 01{:02d} between nine", "reach us on 0602 555 0123 between nine", "0602 555 0123"),
+        ("10.0.0.{:d} is the host of", "host-4711-x is the host of", "host-4711-x"),
+    ],
+)
+def test_contexts_are_learned_from_seeds(documents, seed, unseen, identifier):
+    texts = [seed.format(i) for i in range(10, 60)] + [unseen.format(), "Nothing 2024 is here but 12345 pages", "call 5550-1234 now"]
+    found = found_in(documents, texts)
+    assert found.pop(50) == ([identifier] if identifier else [])
+    assert not any(found.values())
+
+
+def test_contexts_that_also_stand_around_other_numbers_are_not_trusted(documents):
+    texts = [f"the value is +1 602 555 01{i:02d} here" for i in range(10)]
+    texts += [f"the value is {7000 + i} here" for i in range(40)] + ["the value is 555-0199 here"]
+    assert not any(found_in(documents, texts).values())
+
+
+def test_patterns_reach_others_through_shared_instances(documents):
+    """An identifier found by one pattern makes another one known in a later round."""
+    texts = [f"phone: +1 602 555 01{i:02d}" for i in range(30)] + [f"phone: 555-01{i:02d}" for i in range(6)]
+    texts += [f"ring my desk 555-01{i:02d}" for i in range(6)] + ["ring my desk 555-9999"]
+    assert found_in(documents, texts)[42] == ["555-9999"]
+    one = pii_bootstrap.find_personal_data(documents(list(enumerate(texts))), rounds=1)
+    assert [r["spans"] for r in one.where("doc_id = 42").collect()] == [""]
+
+
+def plain_trust(edges, rounds):
+    """The rounds on plain dictionaries."""
+    known = {i: 1.0 for _, i, seed in edges if seed}
+    for _ in range(rounds):
+        trust = {}
+        for pattern in {p for p, _, _ in edges}:
+            instances = [i for p, i, _ in edges if p == pattern]
+            share = sum(known.get(i, 0.0) for i in instances) / len(instances)
+            if share >= pii_bootstrap.TRUSTED and sum(known.get(i, 0) >= pii_bootstrap.KNOWN_AT for i in instances) >= pii_bootstrap.SEEDS_ASKED:
+                trust[pattern] = share
+        seeds = {i for _, i, seed in edges if seed}
+        known = {i: 1.0 for i in seeds}
+        for p, i, _ in edges:
+            if p in trust and i not in seeds:
+                known[i] = max(known.get(i, 0.0), trust[p])
+    return trust
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_graph_rounds_equal_plain_ones(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    seeds = {f"i{k}" for k in range(0, 60, 2)}
+    edges = {(f"p{draw.randrange(25)}", f"i{min(59, int(draw.expovariate(0.08)))}") for _ in range(300)}
+    edges = sorted((p, i, i in seeds and draw.random() < 0.97) for p, i in edges)
+    seeded = {i for _, i, s in edges if s}
+    edges = [(p, i, i in seeded) for p, i, _ in edges]
+    df = spark.createDataFrame(edges, "pattern string, instance string, seed boolean")
+    got = {r["pattern"]: r["trust"] for r in pii_bootstrap.trusted_patterns(df).collect()}
+    expected = plain_trust(edges, pii_bootstrap.ROUNDS)
+    assert set(got) == set(expected) and all(abs(got[p] - t) < 1e-9 for p, t in expected.items())
+
+
+def test_rows_alike_in_id_and_text_have_the_same_spans(documents):
+    texts = [(i, f"phone: +1 602 555 01{i:02d}") for i in range(20)]
+    rows = pii_bootstrap.find_personal_data(documents([*texts, (None, "phone: 555-0177"), (None, "phone: 555-0177"), (None, "none")])).collect()
+    assert sorted(r["spans"] for r in rows if r["doc_id"] is None) == ["", "context:7:15", "context:7:15"]
