@@ -95,13 +95,23 @@ def evaluate_answers(
     summary_output: str,
     debug: bool = False,
     store: str | None = None,
-) -> None:
+) -> DataFrame:
     """Generate and grade an answer per question; write the details and the summary.
 
     The summary is read from the written details, so every text is generated once. With ``store`` the
-    texts are kept there, and a repeated run generates only those that are missing.
+    texts are kept there, and a repeated run generates only those that are missing. Where a file or batch of the
+    dataset cannot be read, nothing is generated or written; the result says so in (dataset, reason, n_rows).
     """
-    items = cache.load_answers(spark, root)
+    try:
+        items = cache.load_answers(spark, root, report=True)
+    except cache.UNREADABLE as error:
+        return quarantine.failed_tasks(spark, {ANSWER_TASK: cache.first_line(error)})
+    damage = F.col(candidates.DAMAGE)
+    bad = items.where(damage.isNotNull()).groupBy(F.lit(ANSWER_TASK).alias("dataset"), damage.alias("reason"))
+    bad = bad.agg(F.count("*").alias("n_rows"))
+    if not bad.isEmpty():
+        return bad
+    items = items.drop(candidates.DAMAGE)
     if debug:
         items = candidates.first_rows(items, "example_id")
     if store:
@@ -113,3 +123,4 @@ def evaluate_answers(
     written = sinks.read_detail(spark, detail_output, "correct boolean, model string", [model])
     summary = answers.answer_accuracy(written, ANSWER_TASK).withColumn("model", F.lit(model))
     sinks.write_summary(sinks.metric_summary(summary), summary_output, [model])
+    return bad

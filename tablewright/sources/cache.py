@@ -39,6 +39,8 @@ TRAINING_SOURCES = {
 }
 
 EXTENSIONS = [".arrow", ".parquet"]
+# What is raised for a dataset of which nothing can be read, or that is not there.
+UNREADABLE = (PySparkException, Py4JJavaError, OSError, ValueError)
 # Columns that a source may have itself; the key takes their place.
 KEY, SOURCE_KEYS = "example_id", ["example_id", "id"]
 
@@ -151,7 +153,7 @@ def load_tasks_reporting(
     for task, folder in TASK_FOLDERS.items():
         try:
             table = load(spark, root, folder, by_subset=task == "MMLU", report=True, index=index)
-        except (PySparkException, Py4JJavaError, OSError, ValueError) as error:
+        except UNREADABLE as error:
             failed[task] = first_line(error)
             continue
         if table is not None:
@@ -187,9 +189,9 @@ def load_pair_source(spark: SparkSession, root: str) -> DataFrame:
     return table
 
 
-def load_answers(spark: SparkSession, root: str) -> DataFrame:
+def load_answers(spark: SparkSession, root: str, report: bool = False) -> DataFrame:
     """The worked-answer dataset: all shards of its smallest path."""
-    table = load(spark, root, ANSWER_FOLDER, splits=[])
+    table = load(spark, root, ANSWER_FOLDER, splits=[], report=report)
     if table is None:
         raise FileNotFoundError(f"no files for {ANSWER_FOLDER} below {root}")
     return table

@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tablewright.operators import budget, preference, ranking
@@ -97,3 +98,35 @@ def test_long_texts_are_cut(spark):
     df = spark.createDataFrame([("w  " * 30000,)], "text string")
     row = budget.limit_length(df).head()
     assert row.n_cut == 30000 - 2048 and row.kept == ("w  " * 2048).rstrip()
+
+
+def test_equal_rows_fill_several_ranges(spark):
+    """One text a hundred thousand times is put in order by all tasks."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        df = spark.range(100_500, numPartitions=8).select(
+            F.when(F.col("id") < 100_000, "same").otherwise(F.col("id").cast("string")).alias("k")
+        )
+        placed = ranking.with_position(df, ["k"])
+        written = {f.removeprefix("file://") for f in placed.inputFiles()}
+        per_range = [n for n in (pq.ParquetFile(f).metadata.num_rows for f in written) if n]
+    finally:
+        spark.conf.set(name, before)
+    assert len(per_range) == 8 and max(per_range) < 2 * 100_500 / 8
+    rows = placed.collect()
+    assert sorted(r.position for r in rows) == list(range(100_500))
+    same = sorted(r.position for r in rows if r.k == "same")
+    assert same == list(range(same[0], same[0] + 100_000))
+    by_digest = sorted({r.k for r in rows}, key=digest)
+    assert [r.k for r in sorted(rows, key=lambda r: r.position) if r.k != "same"] == [k for k in by_digest if k != "same"]
+
+
+def test_positions_within_groups_and_odd_names(spark):
+    rows = [(g, i, i % 2) for g in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, _h int, _row int").repartition(3)
+    got = ranking.with_position(df, ["_h"], within=["g"]).collect()
+    for g in ("a", "b", None):
+        assert sorted(r.position for r in got if r.g == g) == list(range(40))
+    assert ranking.with_position(df.where("false"), ["_h"]).collect() == []

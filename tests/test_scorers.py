@@ -229,3 +229,27 @@ def test_subjects_fail_on_their_own(spark, tmp_path):
 
 def test_candidates_keep_their_form_without_reports(views):
     assert "problem" not in candidates.all_candidates(views.tasks()).columns
+
+
+def test_damaged_answers_are_reported(spark, tmp_path):
+    import pyarrow as pa
+    from tablewright.plans import jobs
+
+    table = pa.table({"question": [f"What is {i}?" for i in range(30)], "answer": ["#### 1"] * 30})
+    path = tmp_path / "root/gsm8k/main/g-test.arrow"
+    path.parent.mkdir(parents=True)
+    with pa.ipc.new_stream(str(path), table.schema) as writer:
+        writer.write_table(table, max_chunksize=5)
+    told = [str(tmp_path / n) for n in ("detail", "summary")]
+    asked = Counted(tmp_path / "asked")
+    assert jobs.evaluate_answers(spark, str(tmp_path / "root"), asked, "m", *told).count() == 0
+    assert len(asked.noted()) == 30
+    path.write_bytes(path.read_bytes()[:-400])
+    (bad,) = jobs.evaluate_answers(spark, str(tmp_path / "root"), asked, "m2", *told).collect()
+    assert (bad.dataset, bad.n_rows) == ("GSM8K", 1) and bad.reason.startswith("DamagedFile")
+    path.write_bytes(b"")
+    (bad,) = jobs.evaluate_answers(spark, str(tmp_path / "root"), asked, "m2", *told).collect()
+    assert bad.dataset == "GSM8K" and len(asked.noted()) == 30
+    assert not (tmp_path / "detail/model=m2").exists()
+    (bad,) = jobs.evaluate_answers(spark, str(tmp_path / "elsewhere"), asked, "m2", *told).collect()
+    assert "gsm8k" in bad.reason
