@@ -130,3 +130,13 @@ def test_positions_within_groups_and_odd_names(spark):
     for g in ("a", "b", None):
         assert sorted(r.position for r in got if r.g == g) == list(range(40))
     assert ranking.with_position(df.where("false"), ["_h"]).collect() == []
+
+
+@pytest.mark.parametrize("cap", [1, 500, 3000, 9_000, 10_050])
+def test_samples_of_repeated_keys(spark, cap):
+    """The counts show that the last row is not where uniform digests would have it."""
+    df = spark.range(10_000).select(F.lit("often").alias("k")).unionByName(spark.range(100).select(F.col("id").cast("string").alias("k")))
+    kept = [r.k for r in ranking.sample_cap(df, ["k"], cap).collect()]
+    ordered = sorted(["often"] * 10_000 + [str(i) for i in range(100)], key=digest)
+    last = digest(ordered[cap - 1])
+    assert sorted(kept) == sorted(k for k in ordered if digest(k) <= last)
