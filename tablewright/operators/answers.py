@@ -59,6 +59,8 @@ def attach_generator(
 
 
 STORE_SCHEMA = "digest string, prediction string"
+# Version 2 of this setting moves the file of a task to its place when the task ends, not when the job does.
+COMMIT_BY_TASK = "mapreduce.fileoutputcommitter.algorithm.version"
 
 
 def prompt_digest(name: str, prompt: Column) -> Column:
@@ -90,23 +92,24 @@ def attach_stored_generator(
     """As :func:`attach_generator`, with every text kept in the table at ``store``, so that it is generated once.
 
     Prompts whose text is there under the generator's ``name`` are left out before work starts. The others are
-    generated in rounds of about ``commit_rows`` prompts, equal prompts once, and each round
-    is added to the table as a whole: a run that is broken off and repeated goes on after the
-    last whole round. An item without question has no prediction.
+    generated in one job, equal prompts once. A task has about ``commit_rows`` prompts divided by the number of tasks that
+    run at a time, and adds its texts to the table when they are all there: a run that is broken off and repeated
+    has lost about ``commit_rows`` texts at most. An item without question has no prediction.
     """
     spark = items.sparkSession
     prompt = reasoning_prompt(F.col("question"))
     keyed = items.select(key, "question", "answer", prompt_digest(name, prompt).alias("digest"))
     asked = items.select(prompt_digest(name, prompt).alias("digest"), prompt.alias("prompt")).where("digest is not null")
     todo = asked.dropDuplicates(["digest"]).join(_held(spark, store), "digest", "left_anti")
-    path = fresh_path(spark, "prompts")  # the rounds are those of this list, whatever is added meanwhile
+    path = fresh_path(spark, "prompts")  # the job is cut by the length of this list, whatever is added meanwhile
     todo.write.parquet(path)
     listed = spark.read.parquet(path)
     rounds = -(-listed.count() // commit_rows)
-    tasks = spark.sparkContext.defaultParallelism
-    for number in range(rounds):
-        now = listed.where(F.pmod(F.xxhash64("digest"), F.lit(rounds)) == number).repartition(tasks)
-        _generate(now, "prompt", generator, call_rows, call_bytes).write.mode("append").parquet(store)
+    if rounds:
+        # one job, of whose tasks each adds its file when it is complete
+        parts = listed.repartition(rounds * spark.sparkContext.defaultParallelism, "digest")
+        made = _generate(parts, "prompt", generator, call_rows, call_bytes)
+        made.write.mode("append").option(COMMIT_BY_TASK, "2").parquet(store)
     return keyed.join(_held(spark, store), "digest", "left").select(key, "question", "answer", "prediction")
 
 
