@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tablewright.functions.batches import pieces
 from tablewright.sources.arrow_files import locate
 
 
@@ -18,6 +19,7 @@ def stage_arrow_files(
 ) -> None:
     """One Arrow file per partition, named as a shard of ``name``: a stream, or the framing with an index of batches.
 
+    A file's batches have ``batch_rows`` rows, else bounded rows and bytes, so that a reader holds little at a time.
     With ``by`` every value of that column has a folder of its own, without the column.
     A task writes under a name of its own and renames the file when it is
     complete, so a repeated task leaves one whole file.
@@ -28,7 +30,7 @@ def stage_arrow_files(
         system, root = locate(folder)
         new = pa.ipc.new_file if indexed else pa.ipc.new_stream
         opened: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in batches if batch_rows else pieces(batches):
             table = pa.Table.from_batches([batch])
             for value in pc.unique(table.column(by)).to_pylist() if by else [""]:
                 rows = table.filter(pc.equal(table.column(by), value)).drop_columns([by]) if by else table
